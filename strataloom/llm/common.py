@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +114,24 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that a session needs no other set-up."""
+    context = spark.sparkContext
+    if getattr(context, "_strataloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="strataloom-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, str(file.relative_to(package.parent)))
+        context.addPyFile(str(archive))
+    context._strataloom_shipped = True
+
+
 def arrow_rows(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns alone, so that clashing extra columns never matter."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op5_mix_sources
 from .quality import op6_quality_rules
+from .token_counts import op2_token_counts
+from .token_files import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_token_files": op3_token_files,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
 }
