@@ -6,18 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
 from .quality import op6_quality_rules
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
 }
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+), hit AS (SELECT r, m, i, item_id FROM dw JOIN bw USING (m, g)
+), words AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT r, m, i FROM hit)) GROUP BY r
+), items AS (SELECT r, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS l FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
 OP5_SQL = r"""
 WITH narrow AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -69,4 +90,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL}
