@@ -11,6 +11,7 @@ from .mixing import op5_mix_sources
 from .quality import op6_quality_rules
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
+from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op9_warc": op9_warc,
 }
 
 OP1_SQL = r"""
