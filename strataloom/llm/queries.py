@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
 from .quality import op6_quality_rules
+from .simhash import op10_simhash
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
 from .warc import op9_warc
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op9_warc": op9_warc,
+    "op10_simhash": op10_simhash,
 }
 
 OP1_SQL = r"""
@@ -53,7 +55,7 @@ WITH narrow AS (
   FROM limited WINDOW o AS (ORDER BY lw, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (SELECT source, source_size, least(lim, w * max(lev) OVER ()) AS target FROM levels
 ), shape AS (SELECT greatest(1, count(*) // 100000) AS m FROM narrow
-), cells AS (SELECT CAST(1 << greatest(3, CASE WHEN m > 1 THEN length(bin(m - 1)) ELSE 0 END + 1) AS BIGINT) AS n FROM shape
+), cells AS (SELECT CAST(1 << greatest(6, CASE WHEN m > 1 THEN length(bin(m - 1)) ELSE 0 END + 1) AS BIGINT) AS n FROM shape
 ), keyed AS (
   SELECT k.*, length(bin(size)) AS lv, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT % c.n AS part FROM narrow k, cells c
 ), placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lv, part, size, doc_id) AS pos FROM keyed
