@@ -12,12 +12,14 @@ from .quality import op6_quality_rules
 from .simhash import op10_simhash
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
+from .toxicity import op4_toxicity
 from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_token_files": op3_token_files,
+    "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op9_warc": op9_warc,
