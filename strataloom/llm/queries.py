@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
 from .quality import op6_quality_rules
+from .repeats import op8_repeated_spans
 from .simhash import op10_simhash
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op8_repeated_spans": op8_repeated_spans,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
