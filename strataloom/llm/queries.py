@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontaminate
+from .language_model import op7_lm_score
 from .mixing import op5_mix_sources
 from .quality import op6_quality_rules
 from .repeats import op8_repeated_spans
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_score": op7_lm_score,
     "op8_repeated_spans": op8_repeated_spans,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
