@@ -256,10 +256,31 @@ def text_key(docs: DataFrame, id_col: str, text_col: str):
     return F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.sha2(text, 256)).alias("__key")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark window occurs."""
-    found = find_contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["doc_id"]), "left_anti")
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The rows of ``docs`` in whose text no benchmark window occurs, all columns as they are.
+
+    The same search as ``find_contamination``, but rows are kept or dropped where they are read:
+    there is no shuffle, and a further block of the benchmark is a further filter.
+    """
+    spark = docs.sparkSession
+    for index in blocks_of(benchmark, item_id_col, item_text_col, window, k, block_words):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            index = shared.value
+            known = index.lookup
+            for piece in slices(batches, text_col):
+                data, offsets = bytes_of(piece.column(text_col))
+                words, at = words_of(LOWERED[data], offsets)
+                coded = words.dictionary_encode()
+                table = np.array([known.get(w, 0) for w in coded.dictionary.to_pylist()], np.int64)
+                hit = index.hits(table[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), at)[0]
+                yield piece.filter(pa.array(sums(hit.astype(np.int64), at) == 0))
+
+        docs = arrow_rows(docs, docs.columns, run, docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

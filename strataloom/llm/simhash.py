@@ -90,15 +90,20 @@ def chain_holds(difference: np.ndarray, start: np.ndarray | int, radius: int) ->
     return ok
 
 
-def forest(members: np.ndarray, start: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever the chain links of these fingerprints connect, one less than members at most."""
+def linked(difference: np.ndarray, start: np.ndarray | int, radius: int, accept: int) -> np.ndarray:
+    """Links of a bucket: by the chain that its key starts up to ``radius`` bits, by the distance alone beyond."""
+    return chain_holds(difference, start, radius) if accept <= radius else np.bitwise_count(difference) <= accept
+
+
+def forest(members: np.ndarray, start: int, radius: int, accept: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect whatever the links of these fingerprints connect, one less than members at most."""
     a, b, left, frontier = [], [], members, []
     while left.size:
         if not frontier:
             frontier, left = [left[0]], left[1:]
         while frontier and left.size:
             x = frontier.pop()
-            near = chain_holds(left ^ x, start, radius)
+            near = linked(left ^ x, start, radius, accept)
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), x)), b.append(found)
@@ -109,9 +114,10 @@ def forest(members: np.ndarray, start: int, radius: int) -> tuple[np.ndarray, np
     return np.concatenate([*a, empty]), np.concatenate([*b, empty])
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, accept: int = 0) -> DataFrame:
     """Links (a, b) between fingerprints (fp, distinct) that connect exactly what the pairs within
-    ``radius`` bits connect.
+    ``radius`` bits connect. With ``accept`` above ``radius``, pairs up to ``accept`` bits that
+    happen to meet under a key are linked as well.
 
     Fingerprints meet under 24 keys; keys of one fingerprint are dropped. In a bucket only a
     spanning forest of its links is emitted, never all pairs. A bucket of more than ``tile``
@@ -138,10 +144,10 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
             size = np.diff(np.concatenate([edge, [len(key)]]))
             start = (key >> 32) // 3
             two = edge[size == 2]
-            ok = chain_holds(fp[two] ^ fp[two + 1], start[two], radius)
+            ok = linked(fp[two] ^ fp[two + 1], start[two], radius, accept)
             a, b = [fp[two][ok]], [fp[two + 1][ok]]
             for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                x, y = forest(fp[at : at + n], int(start[at]), radius)
+                x, y = forest(fp[at : at + n], int(start[at]), radius, accept)
                 a.append(x), b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a.view(np.int64), b.view(np.int64))), pa.array(np.maximum(a.view(np.int64), b.view(np.int64)))], ["a", "b"])
@@ -181,6 +187,97 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = RADIUS, seed: int
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_signatures(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...]) -> DataFrame:
+    """(doc_id, own, v, f0, f1, ...): a hash of the text as it is, one of its words in order, and for
+    each seed the SimHash of the set of its words."""
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
+    names = ["doc_id", "own", "v", *(f"f{i}" for i in range(len(seeds)))]
+
+    def run(batches):
+        import xxhash
+
+        for piece in slices(batches, "text"):
+            data, offsets = bytes_of(piece.column("text"))
+            raw, at = data.tobytes().lower(), offsets.tolist()
+            texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+            keys = [xxhash.xxh3_64_intdigest(b" ".join(t)) for t in texts]
+            sets = [set(t) for t in texts]
+            size = np.array([len(x) for x in sets], np.int64)
+            words = list(set().union(*sets))
+            number = {w: i for i, w in enumerate(words)}
+            index = np.fromiter((number[w] for x in sets for w in x), np.int64, int(size.sum()))
+            upto = np.concatenate([[0], np.cumsum(size)])
+            prints = []
+            for seed in seeds:
+                hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
+                prints.append(np.array([fingerprint(hashes[index[a:b]]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("own"), pa.array(np.array(keys, np.uint64).view(np.int64)), *map(pa.array, prints)], names)
+
+    return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names))
+
+
+def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(v, grams): the sorted distinct shingle hashes of each row's text."""
+
+    def run(batches):
+        for piece in slices(batches, "text"):
+            data, offsets = bytes_of(piece.column("text"))
+            raw, at = data.tobytes(), offsets.tolist()
+            grams = [np.unique(shingle_hashes(raw[a:b], n, 42)).view(np.int64) for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([piece.column("v"), pa.array(grams, pa.list_(pa.int64()))], ["v", "grams"])
+
+    return arrow_rows(texts, ["v", "text"], run, "v long, grams array<long>")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, n: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3), accept: int = 8, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one of least id (null ids last).
+
+    Two texts are near copies if they have the same words in order, or if the sets of their
+    ``n``-word shingles have a Jaccard similarity of ``similarity`` or more. SimHash over shingles
+    that long puts copies of 0.8 at some 8 bits of 64, out of reach of selective keys; over the set
+    of single words they lie within 3 bits or little more. So candidates come from that fingerprint
+    under each of ``seeds``, through the same keys, which are complete for 3 bits and find many of
+    up to ``accept``; each candidate is then checked on its shingles. In a bucket candidates form a
+    spanning forest, and texts of one fingerprint meet its first, so their number is bounded by
+    texts times seeds. Groups are chains of near copies.
+
+    Null texts count as empty, empty ones are copies of each other, and rows that repeat another
+    leave one. All columns are kept, and text columns meet shuffles once for the candidates and
+    once for the result.
+    """
+    own = materialize(word_signatures(docs, id_col, text_col, seeds), "near-signatures")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))
+    texts = materialize(own.groupBy("v").agg(F.min(rank).alias("first"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(len(seeds)))), "near-texts")
+    pairs = None
+    for i in range(len(seeds)):
+        heads = texts.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("v").alias("head"))
+        near = link_fingerprints(heads.select("fp"), RADIUS, tile, accept)
+        ends = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+        same = texts.join(heads, F.col(f"f{i}") == F.col("fp")).where("v <> head").select(F.col("v").alias("x"), F.col("head").alias("y"))
+        found = ends.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = materialize(pairs.distinct(), "near-candidates")
+    asked = pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct().join(texts.select("v", "first.doc_id", "first.own"), "v")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("__own", F.xxhash64("text"))
+    fetched = source.join(asked, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("own"))).select("v", "text")
+    sets = materialize(shingle_sets(fetched, n).dropDuplicates(["v"]), "near-shingles")
+    both = pairs.join(sets.select(F.col("v").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("grams").alias("q")), "y")
+    shared = F.size(F.array_intersect("p", "q"))
+    near = both.where(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = connected_components(materialize(near, "near-links"))
+    named = own.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    # All rows but the first of each group; a row and its repeats are told apart by dropping repeats afterwards.
+    first = named.groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    dropped = named.join(first, "label").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own")))).select(F.col("doc_id").alias("__drop_id"), F.col("own").alias("__drop_own")).distinct()
+    text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    kept = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("__drop_id")) & (text == F.col("__drop_own")), "left_anti")
+    if own.groupBy("doc_id", "own").count().where("count > 1").limit(1).count():
+        kept = kept.withColumn("__own", text).dropDuplicates([id_col, "__own"]).drop("__own")
+    return kept
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs)
