@@ -1,6 +1,366 @@
-"""Every reference operator as a registered query, with its DuckDB equivalent."""
+"""Every operator as a registered query, with its DuckDB equivalent where SQL has one.
+
+Transformers run on ``lineitem`` or ``part``: fitted on the rows whose key isn't divisible by 5 and
+applied to all, with a category that the training rows lack and one that is null.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics
+from .gene import Gene, create_gene
+from .plans import folds
+from .plans.pipeline import apply_genes, fit_genes
+from .registry import Target
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+LINEITEM = (
+    "l_orderkey", "l_linenumber", "l_quantity AS q", "l_extendedprice AS p", "l_discount AS d", "l_tax AS t", "l_linestatus AS status", "l_shipdate AS ship",
+    "CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 1 THEN 'X' WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS flag",
+    "CAST(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS DOUBLE) AS y",
+)
+PART = ("p_partkey AS l_orderkey", "1 AS l_linenumber", "p_retailprice AS q", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS flag", "p_brand AS brand", "p_type AS status")
+BASES = {"lineitem": LINEITEM, "part": PART}
+
+
+def base(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*BASES[table])
+
+
+def with_base(table: str, ctes: str, select: str) -> str:
+    return f"WITH base AS (SELECT {', '.join(BASES[table])} FROM {table}), train AS (SELECT * FROM base WHERE l_orderkey % 5 <> 0){', ' if ctes else ''}{ctes} {select}"
+
+
+def transformed(gene: Gene, table: str = "lineitem", target: str | None = None, digits: int | None = 6) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = base(spark, sf_dir, table)
+        train = df.where("l_orderkey % 5 <> 0")
+        states: dict = {}
+        fit_genes(train, [gene], Target.of(train, target) if target else None, states)
+        out = apply_genes(df, [gene], states)
+        value = F.col(gene.output)
+        return out.select("l_orderkey", "l_linenumber", "q", (F.round(value, digits) if digits is not None else value).alias("value"))
+
+    return query
+
+
+def add(name: str, query: Callable, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def transformer(name: str, inputs: list[str], value: str | None, ctes: str = "", joins: str = "", table: str = "lineitem", target: str | None = None, text: bool = False, suffix: str = "", **params) -> None:
+    """Register op_<name>; ``value`` is the SQL of the derived column over base b and its joins."""
+    shown = value if text else f"round(CAST({value} AS DOUBLE), 6)"
+    sql = with_base(table, ctes, f"SELECT b.l_orderkey, b.l_linenumber, b.q, {shown} AS value FROM base b {joins}") if value else None
+    add(f"op_{name}{suffix}", transformed(create_gene(name, inputs, **params), table, target, None if text else 6), sql)
+
+
+# Arithmetic.
+transformer("log", ["p"], "ln(1 + abs(b.p))")
+transformer("sqrt", ["p"], "sqrt(abs(b.p))")
+transformer("reciprocal", ["d"], "CASE WHEN b.d = 0 THEN 0 ELSE 1 / b.d END")
+transformer("add", ["q", "p", "q"], "b.q + b.p + b.q")
+transformer("subtract", ["p", "q"], "b.p - b.q")
+transformer("multiply", ["q", "d", "t"], "b.q * b.d * b.t")
+transformer("divide", ["p", "d"], "CASE WHEN b.d = 0 THEN 0 ELSE b.p / b.d END")
+transformer("normalized_difference", ["q", "d"], "coalesce((b.q - b.d) / (abs(b.q) + abs(b.d) + 1e-8), 0)")
+transformer("log_ratio", ["p", "q"], "ln(1 + abs(b.p)) - ln(1 + abs(b.q))")
+transformer("power", ["q"], "coalesce(sign(b.q) * pow(abs(b.q), 3), 0)", p=3)
+transformer("displaced_log", ["q"], "coalesce(ln(1 + abs(b.q + 123.45)), 0)", displacement=123.45)
+
+# Bins and ranks.
+BOUNDS = "k AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS v FROM train)"
+BIN = "CASE WHEN len(k.v) <= 1 THEN 1 WHEN b.p IS NULL THEN 0 ELSE greatest(1, least(len(k.v) - 1, len(list_filter(k.v, lambda x: x <= b.p)))) END"
+transformer("quantile_binning", ["p"], BIN, BOUNDS, ", k", Q=5)
+transformer("quantile_binning_cat", ["p"], f"CAST(CAST({BIN} AS BIGINT) AS VARCHAR)", BOUNDS, ", k", text=True, Q=5)
+transformer("log_binning", ["p"], "coalesce(floor(ln(abs(b.p) + 1) / ln(7.0)), 0)", base=7)
+transformer("log_binning_cat", ["p"], "CAST(CAST(coalesce(floor(ln(abs(b.p) + 1) / ln(7.0)), 0) AS BIGINT) AS VARCHAR)", text=True, base=7)
+RANKS = "c AS (SELECT q, count(*) AS n FROM train WHERE q IS NOT NULL GROUP BY q), v AS (SELECT DISTINCT q FROM base WHERE q IS NOT NULL), k AS (SELECT v.q, (SELECT coalesce(sum(c.n), 0) FROM c WHERE c.q <= v.q) / (SELECT sum(n) FROM c) AS r FROM v)"
+transformer("rank_transform", ["q"], "coalesce(k.r, 0.5)", RANKS, "LEFT JOIN k ON b.q = k.q")
+
+# Statistics within groups.
+STATS = {"mean": "avg({x})", "sd": "coalesce(stddev_samp({x}), 0)", "max": "max({x})", "min": "min({x})", "median": "quantile_cont({x}, 0.5)", "quantile": "quantile_cont({x}, 0.75)"}
+for _name, _stats, _value, _params in (
+    ("mean", ["mean"], "{mean}", {}),
+    ("sd", ["sd"], "{sd}", {}),
+    ("max", ["max"], "{max}", {}),
+    ("min", ["min"], "{min}", {}),
+    ("median", ["median"], "{median}", {}),
+    ("quantile", ["quantile"], "{quantile}", {"q": 0.75}),
+    ("ratio", ["mean"], "coalesce(CASE WHEN {mean} = 0 THEN 0 ELSE b.p / {mean} END, 0)", {}),
+    ("zscore", ["mean", "sd"], "coalesce(CASE WHEN {sd} = 0 THEN 0 ELSE (b.p - {mean}) / {sd} END, 0)", {}),
+    ("signed_log", ["mean"], "coalesce(sign(b.p - {mean}) * ln(1 + abs(b.p - {mean})), 0)", {}),
+):
+    _cols = ", ".join(f"{STATS[s].format(x='p')} AS {s}" for s in _stats)
+    transformer(
+        f"groupby_{_name}", ["flag", "p"], _value.format(**{s: f"coalesce(g.{s}, a.{s})" for s in _stats}), f"g AS (SELECT flag, {_cols} FROM train GROUP BY flag), a AS (SELECT {_cols} FROM train)",
+        "LEFT JOIN g ON b.flag IS NOT DISTINCT FROM g.flag CROSS JOIN a", **_params,
+    )
+
+# Supervised encoders.
+SMOOTH = "CASE WHEN b.flag IS NULL THEN a.g ELSE coalesce((g.n * g.s + 10 * a.g) / (g.n + 10), a.g) END"
+GROUPED = "LEFT JOIN g ON b.flag = g.flag CROSS JOIN a"
+transformer("target_encode", ["flag"], SMOOTH, "g AS (SELECT flag, avg(y) AS s, count(*) AS n FROM train GROUP BY flag), a AS (SELECT avg(y) AS g FROM train)", GROUPED, target="y")
+transformer("target_quantile_encode", ["flag"], SMOOTH, "g AS (SELECT flag, quantile_cont(q, 0.25) AS s, count(*) AS n FROM train GROUP BY flag), a AS (SELECT quantile_cont(q, 0.25) AS g FROM train)", GROUPED, target="q", q=0.25)
+transformer(
+    "pooled_target_encode", ["flag"], "CASE WHEN b.flag IS NULL THEN a.g ELSE coalesce((g.n * g.s + k.k * a.g) / (g.n + k.k), a.g) END",
+    "g AS (SELECT flag, avg(y) AS s, var_samp(y) AS v, count(y) AS n FROM train GROUP BY flag), a AS (SELECT avg(y) AS g FROM train), k AS (SELECT (sum((n - 1) * coalesce(v, 0)) / sum(n - 1)) / var_samp(s) AS k FROM g)",
+    GROUPED + " CROSS JOIN k", target="y",
+)
+transformer(
+    "target_encode_multiclass", ["status"], "coalesce((g.n * g.s + 10 * a.g) / (g.n + 10), a.g)",
+    "e AS (SELECT status, CASE WHEN flag IS NOT NULL THEN CAST(CASE WHEN flag = 'N' THEN 1 ELSE 0 END AS DOUBLE) END AS y2 FROM train), g AS (SELECT status, avg(y2) AS s, count(*) AS n FROM e GROUP BY status), a AS (SELECT avg(y2) AS g FROM e)",
+    "LEFT JOIN g ON b.status = g.status CROSS JOIN a", target="flag", comp_idx=2,
+)
+transformer(
+    "woe_encode", ["flag"], "CASE WHEN b.flag IS NULL THEN 0 ELSE coalesce(ln(((g.e + 0.5) / (a.e + 1)) / ((g.n + 0.5) / (a.n + 1))), 0) END",
+    "g AS (SELECT flag, sum(y) AS e, sum(1 - y) AS n FROM train GROUP BY flag), a AS (SELECT sum(y) AS e, sum(1 - y) AS n FROM train)", GROUPED, target="y",
+)
+transformer(
+    "cat_interaction_target_encode", ["flag", "status"], "coalesce((g.n * g.s + 10 * a.g) / (g.n + 10), a.g)",
+    "g AS (SELECT coalesce(flag, 'NA') || '___' || coalesce(status, 'NA') AS k, avg(y) AS s, count(*) AS n FROM train GROUP BY 1), a AS (SELECT avg(y) AS g FROM train)",
+    "LEFT JOIN g ON coalesce(b.flag, 'NA') || '___' || coalesce(b.status, 'NA') = g.k CROSS JOIN a", target="y",
+)
+
+# Categories and texts.
+transformer("frequency_encode", ["flag"], "coalesce(g.n, a.m)", "g AS (SELECT flag, count(*) AS n FROM train WHERE flag IS NOT NULL GROUP BY flag), a AS (SELECT median(n) AS m FROM g)", GROUPED)
+TOP = "g AS (SELECT flag, count(*) AS n FROM train WHERE flag IS NOT NULL GROUP BY flag), l AS (SELECT flag, row_number() OVER (ORDER BY n DESC, flag) AS r FROM g WHERE n >= 0.05 * (SELECT sum(n) FROM g))"
+transformer("one_hot_encode", ["flag"], "CASE WHEN b.flag = (SELECT flag FROM l WHERE r = 2) THEN 1 ELSE 0 END", TOP, comp_idx=2)
+transformer("one_hot_encode", ["flag"], "CASE WHEN b.flag IN (SELECT flag FROM l WHERE r <= 5) THEN 0 ELSE 1 END", TOP, suffix="_other", comp_idx=6)
+transformer("concat", ["flag", "status"], "coalesce(b.flag, 'NA') || '_' || coalesce(b.status, 'NA')", text=True)
+transformer("feature_hash", ["flag"], "CASE WHEN ('0x' || substr(md5(b.flag), 1, 7))::BIGINT % 8 + 1 = 3 THEN 1 WHEN b.flag IS NOT NULL THEN 0 END", table="part", num_bins=8, comp_idx=3)
+GRAMS = "[substr('^' || lower({x}) || '$', i, 3) for i in range(1, greatest(length({x}), 1) + 1)]"
+transformer(
+    "similarity_encode", ["flag"], f"CASE WHEN coalesce(b.flag, '') = '' THEN 0 ELSE len(list_intersect({GRAMS.format(x='b.flag')}, k.g)) / len(list_distinct(list_concat({GRAMS.format(x='b.flag')}, k.g))) END",
+    f"k AS (SELECT {GRAMS.format(x='flag')} AS g FROM (SELECT flag, count(*) AS n FROM train WHERE flag <> '' GROUP BY flag ORDER BY n DESC, flag LIMIT 1 OFFSET 2))", "CROSS JOIN k", table="part", comp_idx=3,
+)
+transformer(
+    "minhash_encode", ["flag"], f"CASE WHEN coalesce(b.flag, '') = '' THEN 0 ELSE list_min([('0x' || substr(md5(x || '_2017'), 1, 7))::BIGINT for x in {GRAMS.format(x='b.flag')}]) / 268435455.0 END", table="part", comp_idx=2,
+)
+transformer("gap_encode", ["flag"], None, table="part", comp_idx=1)
+
+# Datetimes.
+transformer("datetime_extract", ["ship"], "isodow(b.ship)", component="day_of_week")
+transformer("datetime_cyclic", ["ship"], "sin(2 * pi() * (dayofyear(b.ship) - 1) / 365.25)", component="yday_sin")
+
+
+def date_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_orderdate AS a", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE TIMESTAMP '1999-01-01 12:00:00' END AS b")
+    gene = create_gene("date_diff", ["a", "b"])
+    states: dict = {}
+    fit_genes(df, [gene], None, states)
+    return apply_genes(df, [gene], states).select("o_orderkey", F.round(gene.output, 6).alias("value"))
+
+
+add("op_date_diff", date_diff, "SELECT o_orderkey, round(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE (epoch(o_orderdate) - epoch(TIMESTAMP '1999-01-01 12:00:00')) / 86400.0 END, 6) AS value FROM orders")
+
+# Projections; two inputs have closed forms.
+MOMENTS = "m AS (SELECT avg(p) AS mp, stddev_samp(p) AS sp, avg(q) AS mq, stddev_samp(q) AS sq, corr(p, q) AS r FROM train)"
+transformer("pca", ["p", "q"], "((b.p - m.mp) / m.sp + sign(m.r) * (b.q - m.mq) / m.sq) / sqrt(2)", MOMENTS, "CROSS JOIN m", comp_idx=1)
+SVD = "s AS (SELECT sum(d * d) AS a, sum(d * t) AS b, sum(t * t) AS c FROM train), w AS (SELECT b AS x, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) - a AS y FROM s)"
+transformer("truncated_svd", ["d", "t"], "(b.d * w.x + b.t * w.y) / sqrt(w.x * w.x + w.y * w.y)", SVD, "CROSS JOIN w", comp_idx=1)
+
+
+def random_projection_sql() -> str:
+    from random import Random
+
+    rng = Random(11)
+    weights = [rng.gauss(0, 1) for _ in range(3)]
+    return " + ".join(f"({w!r}::DOUBLE) * b.{c}" for w, c in zip(weights, "pqd", strict=True))
+
+
+transformer("random_projection", ["p", "q", "d"], random_projection_sql(), seed=11)
+for _name, _inputs, _target in (
+    ("mca", ["flag", "status"], None), ("famd", ["p", "q", "flag"], None), ("between_group_pca", ["flag", "p", "q"], None), ("supervised_bgpca", ["p", "q", "d"], "flag"),
+    ("supervised_mca", ["flag", "status"], "y"), ("supervised_famd", ["p", "q", "status"], "flag"),
+):
+    transformer(_name, _inputs, None, target=_target, comp_idx=1)
+
+# Clusters, outliers, embeddings: fitted on the embeddings' first coordinates.
+
+
+def embedded(name: str, **params) -> Callable:
+    gene = create_gene(name, ["e0", "e1", "e2"], **params)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(3)])
+        states: dict = {}
+        fit_genes(df.where("vec_id % 5 <> 0"), [gene], None, states)
+        return apply_genes(df, [gene], states).select("vec_id", F.col(gene.output).alias("value"))
+
+    return query
+
+
+for _name, _params in (
+    ("mst_score", {}), ("genie", {"k": 3, "gini": 0.3}), ("lumbermark", {"k": 3}), ("deadwood", {}), ("genie_centroid_dist", {"k": 3, "gini": 0.3, "comp_idx": 1}),
+    ("lumbermark_centroid_dist", {"k": 3, "comp_idx": 2}), ("umap", {"n_neighbors": 10, "comp_idx": 1}), ("umap_genie", {"k": 3, "n_neighbors": 10}), ("umap_lumbermark", {"k": 3, "n_neighbors": 10}),
+):
+    add(f"op_{_name}", embedded(_name, **_params))
+
+
+def knn_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label of the nearest of a bounded set of centres, which is collected; no cross join."""
+    from .operators.cluster import nearest
+
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "label", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(3)])
+    centres = df.where("vec_id < 50").orderBy("vec_id").limit(50).collect()
+    found = nearest([F.col(f"e{i}") for i in range(3)], [[c.e0, c.e1, c.e2] for c in centres], [c.vec_id for c in centres])
+    return df.select("vec_id", found.cast("long").alias("nearest_id"))
+
+
+add(
+    "op_knn_assign", knn_assign,
+    "WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b, round(CAST(embedding[3] AS DOUBLE), 6) AS c FROM embeddings) "
+    "SELECT x.vec_id, arg_min(z.vec_id, (x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b) + (x.c - z.c) * (x.c - z.c)) AS nearest_id FROM e x CROSS JOIN (SELECT * FROM e WHERE vec_id < 50) z GROUP BY x.vec_id",
+)
+
+
+# Folds and splits over orders.
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS rid", "o_custkey AS g", "o_orderstatus AS y", "o_orderdate AS ts")
+
+
+ORDERS = "WITH o AS (SELECT o_orderkey AS rid, o_custkey AS g, o_orderstatus AS y, o_orderdate AS ts FROM orders), n AS (SELECT count(*) AS n FROM o)"
+MD5 = "md5('3:' || CAST(rid AS VARCHAR))"
+WIDTH = "CAST(greatest(1, floor(((i - 1) * {k} + (n - 2)) / (n - 1))) AS INT)"
+
+
+def fold_sql(order: str, k: int, name: str = "fold") -> str:
+    return f"{ORDERS}, i AS (SELECT rid, row_number() OVER (ORDER BY {order}) AS i FROM o) SELECT rid, {WIDTH.format(k=k)} AS {name} FROM i, n"
+
+
+add("fold_random", lambda s, d: folds.fold_random(orders(s, d), 3, "rid", 3).select("rid", "fold"), fold_sql(f"{MD5}, rid", 3))
+add("fold_time", lambda s, d: folds.fold_time(orders(s, d), 4, "ts", "rid").select("rid", "fold"), fold_sql("ts NULLS LAST, rid", 4))
+add("fold_group", lambda s, d: folds.fold_group(orders(s, d), 3, "g").select("rid", "fold"))
+add("island_row_split", lambda s, d: folds.island_rows(orders(s, d), 5, "rid", 3).select("rid", "island"), fold_sql(f"{MD5}, rid", 5, "island"))
+SPLIT = ORDERS + f", c AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {MD5}, rid) AS i, count(*) OVER (PARTITION BY y) AS m FROM o), u AS (SELECT *, greatest(1, round(m * {{a}})) AS a FROM c)"
+add(
+    "split_stratified", lambda s, d: folds.stratified_split(orders(s, d), "y", [0.6, 0.2, 0.2], "rid", 3).select("rid", "part"),
+    SPLIT.format(a=0.6 / sum([0.6, 0.2, 0.2])) + f" SELECT rid, CASE WHEN i <= a THEN 'train' WHEN i <= a + greatest(CASE WHEN m > a THEN 1 ELSE 0 END, round(m * {0.2 / sum([0.6, 0.2, 0.2])})) THEN 'val' ELSE 'holdout' END AS part FROM u",
+)
+add("split_holdout", lambda s, d: folds.stratified_split(orders(s, d), "y", [0.9, 0.1], "rid", 3).select("rid", "part"), SPLIT.format(a=0.9) + " SELECT rid, CASE WHEN i <= a THEN 'train' ELSE 'val' END AS part FROM u")
+add("mf_subsample", lambda s, d: folds.low_fidelity(orders(s, d), 0.5, "rid", 3).select("rid"), f"{ORDERS}, i AS (SELECT rid, row_number() OVER (ORDER BY {MD5}, rid) AS i FROM o) SELECT rid FROM i, n WHERE i <= greatest(20, ceil(0.5 * n))")
+
+
+# Metrics over a fixed prediction.
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).selectExpr("y", "1 / (1 + exp(-(p - 50000) / 20000)) AS p", "p AS v", "l_linenumber % 3 AS c", "q * 2000 + d * 1000 AS f").withColumn("w", F.array((0.2 + F.col("p") / 10), (0.3 + F.col("p") / 10), 0.5 - F.col("p") / 5))
+
+
+PRED = f"WITH base AS (SELECT {', '.join(LINEITEM)} FROM lineitem), x AS (SELECT y, 1 / (1 + exp(-(p - 50000) / 20000)) AS p, p AS v, l_linenumber % 3 AS c, q * 2000 + d * 1000 AS f FROM base), z AS (SELECT *, [0.2 + p / 10, 0.3 + p / 10, 0.5 - p / 5] AS w FROM x)"
+
+
+def scalar(value: Callable[[DataFrame], float]) -> Callable:
+    return lambda s, d: s.createDataFrame([(round(float(value(predictions(s, d))), 6),)], "value double")
+
+
+def aggregated(function: Callable, y: str, p: str) -> Callable:
+    return lambda s, d: predictions(s, d).agg(F.round(function(F.col(y), F.col(p)), 6).alias("value"))
+
+
+def metric(name: str, query: Callable, sql: str | None) -> None:
+    add(f"metric_{name}", query, f"{PRED} SELECT round(CAST({sql} AS DOUBLE), 6) AS value FROM z" if sql else None)
+
+
+metric("logloss", aggregated(metrics.exp_logloss, "y", "p"), "exp(avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END))")
+metric("mlogloss", aggregated(metrics.exp_mlogloss, "c", "w"), "exp(avg(ln(w[c + 1])))")
+metric("f1", aggregated(metrics.f1, "y", "p"), "2.0 * sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) / (sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) + sum(y))")
+metric("mae", aggregated(metrics.neg_mae, "v", "f"), "-avg(abs(v - f))")
+metric("rmse", aggregated(metrics.neg_rmse, "v", "f"), "-sqrt(avg((v - f) * (v - f)))")
+metric("cal_rmse", aggregated(metrics.calibrated_rmse, "v", "f"), "stddev_samp(v) * sqrt(1 - corr(v, f) * corr(v, f))")
+AUC = "(SELECT (sum(CASE WHEN {y} THEN r ELSE 0 END) - sum(CASE WHEN {y} THEN 1 ELSE 0 END) * (sum(CASE WHEN {y} THEN 1 ELSE 0 END) + 1) / 2.0) / (sum(CASE WHEN {y} THEN 1 ELSE 0 END) * CAST(sum(CASE WHEN {y} THEN 0 ELSE 1 END) AS DOUBLE)) FROM (SELECT y, c, rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0 AS r FROM z))"
+add("metric_auc", scalar(lambda df: metrics.auc(df)), f"{PRED} SELECT round({AUC.format(y='y = 1', p='p')}, 6) AS value")
+add("metric_mauc", scalar(lambda df: metrics.multiclass_auc(df, 3, "c", "w")), f"{PRED} SELECT round(({' + '.join(AUC.format(y=f'c = {k}', p=f'w[{k + 1}]') for k in range(3))}) / 3, 6) AS value")
+add("metric_cal_mae", scalar(lambda df: metrics.calibrated_mae(df, "v", "f")))
+add("metric_ts_refinement", scalar(lambda df: metrics.ts_refinement(df)))
+add("metric_ts_refinement_multiclass", scalar(lambda df: metrics.ts_refinement_multiclass(df, 3, "c", "w")))
+
+
+# Scoring algebra: plain numbers, a row each.
+def rows(values: list[tuple], schema: str) -> Callable:
+    return lambda s, d: s.createDataFrame(values, schema)
+
+
+for _mode in ("bic", "bic_dynamic", "pac_bayes", "pac_bayes_dynamic"):
+    _base = "1.5 * ln(1000) / 2000" if _mode.startswith("bic") else "1.5 / (2 * sqrt(1000))"
+    _scale = " * greatest(0.2, least(1.0, (1 - 0.8) / (1 - 0.7)))" if _mode.endswith("dynamic") else ""
+    add(
+        f"penalty_{_mode}", rows([(k, round(metrics.complexity_penalty(k, 1000, 0.8, 0.7, strength=1.5, mode=_mode), 9)) for k in range(6)], "k long, value double"),
+        f"SELECT k, round(exp(k * ln(1 + {_base}{_scale})) - 1, 9) AS value FROM range(6) r(k)",
+    )
+add("penalized_fitness", rows([(r, round(metrics.penalised(r, 0.1, "classification"), 6), round(metrics.penalised(-r, 0.1, "regression"), 6)) for r in (0.25, 0.5, 0.75)], "raw double, c double, r double"), "SELECT raw, round(raw - (1 - raw) * 0.1, 6) AS c, round(-raw * 1.1, 6) AS r FROM (VALUES (0.25::DOUBLE), (0.5), (0.75)) v(raw)")
+add("headroom_closed", rows([(f, round(metrics.headroom_closed(f, 0.6, "classification"), 6)) for f in (0.6, 0.7, 0.9)], "f double, value double"), "SELECT f, round((f - 0.6) / (1 - 0.6), 6) AS value FROM (VALUES (0.6::DOUBLE), (0.7), (0.9)) v(f)")
+add("feature_distance", rows([(0, round(metrics.jaccard_distance({"a", "b", "c"}, {"b", "c", "d"}), 6)), (1, metrics.jaccard_distance({"a"}, {"a"}))], "pair long, value double"), "SELECT 0::BIGINT AS pair, round(1 - len(list_intersect(['a', 'b', 'c'], ['b', 'c', 'd']))::DOUBLE / len(list_distinct(list_concat(['a', 'b', 'c'], ['b', 'c', 'd']))), 6) AS value UNION ALL SELECT 1, 0.0")
+add("importance_norm", rows([(k, round(v, 6)) for k, v in metrics.normalised_importances([{"a": 3.0, "b": 1.0}, {"a": 1.0, "c": 0.001}]).items()], "name string, value double"), "WITH m AS (SELECT * FROM (VALUES ('a', 2.0::DOUBLE), ('b', 0.5), ('c', 0.0005)) v(name, x)) SELECT name, round(CASE WHEN x / (SELECT sum(x) FROM m) < 0.001 THEN 0 ELSE x / (SELECT sum(x) FROM m) END, 6) AS value FROM m")
+
+
+# Guards.
+def guard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .roles import finite
+
+    return base(spark, sf_dir).select("l_orderkey", "l_linenumber", "q", F.round(finite(F.col("p") * F.when(F.col("l_linenumber") == 1, F.lit(1e36)).otherwise(F.lit(1.0))) / 1000, 6).alias("value"))
+
+
+def guard_reasons(outputs: list[str], threshold: float) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans.pipeline import rejected
+
+        df = base(spark, sf_dir).selectExpr("q", "p", "q * 2 + 1 AS twice", "CAST(5 AS DOUBLE) AS five", "d")
+        bad = rejected(df, outputs, threshold)
+        return spark.createDataFrame([(c, c in bad) for c in outputs], "name string, dropped boolean")
+
+    return query
+
+
+add("guard_float_range", guard_rows, with_base("lineitem", "", "SELECT l_orderkey, l_linenumber, q, round(CASE WHEN abs(p * CASE WHEN l_linenumber = 1 THEN 1e36 ELSE 1 END) <= 3.402823e38 THEN p * CASE WHEN l_linenumber = 1 THEN 1e36 ELSE 1 END END / 1000, 6) AS value FROM base"))
+add("guard_constant", guard_reasons(["five", "d"], 2.0), with_base("lineitem", "", "SELECT 'five' AS name, min(5) = max(5) AS dropped FROM base UNION ALL SELECT 'd', min(d) = max(d) FROM base"))
+add("guard_redundancy", guard_reasons(["twice", "d"], 0.95), with_base("lineitem", "", "SELECT 'twice' AS name, abs(corr(q * 2 + 1, q)) >= 0.95 AS dropped FROM base UNION ALL SELECT 'd', greatest(abs(corr(d, q)), abs(corr(d, p))) >= 0.95 FROM base"))
+
+
+# A recipe of chained genes: the flagship.
+def recipe_genes() -> list[Gene]:
+    a = create_gene("log", ["p"])
+    b = create_gene("divide", ["p", "q"])
+    c = create_gene("groupby_mean", ["flag", b.output])
+    d = create_gene("groupby_sd", ["flag", "q"])
+    e = create_gene("subtract", [b.output, c.output])
+    f = create_gene("multiply", [a.output, d.output])
+    return [a, b, c, d, e, f]
+
+
+def recipe_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gene import create_individual
+    from .plans.pipeline import apply_fitted, fit_apply
+    from .roles import ColumnRoles
+
+    df = base(spark, sf_dir)
+    individual = create_individual(recipe_genes(), ColumnRoles(["p", "q"], ["flag"]))
+    _, _, done, states = fit_apply(individual, df.where("l_orderkey % 5 <> 0"), None, prune=False)
+    out = apply_fitted(done, df, states)
+    return out.select("l_orderkey", "l_linenumber", "q", *[F.round(g.output, 8).alias(f"f{i}") for i, g in enumerate(done.genes)])
+
+
+def recipe_sql() -> str:
+    individual_order = ["f0", "f1", "f2", "f3", "f4", "f5"]
+    genes = recipe_genes()
+    from .gene import topological_order
+
+    values = {"log": "ln(1 + abs(b.p))", "divide": "CASE WHEN b.q = 0 THEN 0 ELSE b.p / b.q END", "groupby_mean": "coalesce(g.m, a.m)", "groupby_sd": "coalesce(g.s, a.s)"}
+    values["subtract"] = f"({values['divide']}) - ({values['groupby_mean']})"
+    values["multiply"] = f"({values['log']}) * ({values['groupby_sd']})"
+    shown = ", ".join(f"round({values[g.transformer]}, 8) AS {n}" for g, n in zip(topological_order(genes, ["p", "q", "flag"]), individual_order, strict=True))
+    stats = "avg(CASE WHEN q = 0 THEN 0 ELSE p / q END) AS m, coalesce(stddev_samp(q), 0) AS s"
+    return with_base("lineitem", f"g AS (SELECT flag, {stats} FROM train GROUP BY flag), a AS (SELECT {stats} FROM train)", f"SELECT b.l_orderkey, b.l_linenumber, b.q, {shown} FROM base b LEFT JOIN g ON b.flag IS NOT DISTINCT FROM g.flag CROSS JOIN a")
+
+
+add("recipe_transform", recipe_transform, recipe_sql())
+
+from . import catalogue_search  # noqa: E402,F401  the search's queries
