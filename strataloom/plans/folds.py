@@ -82,8 +82,8 @@ def stratified_split(df: DataFrame, y: str, ratio: list[float], rid: str, seed:
         n = F.lit(df.count())
         placed = numbered(df, order)
     else:
-        sizes = df.groupBy(F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-        placed = numbered(df, order, [y]).join(F.broadcast(sizes), F.col(y).eqNullSafe(F.col("__y"))).drop("__y")
+        sizes = df.groupBy(F.col(y).alias("__stratum")).agg(F.count(F.lit(1)).alias("__n"))
+        placed = numbered(df, order, [y]).join(F.broadcast(sizes), F.col(y).eqNullSafe(F.col("__stratum"))).drop("__stratum")
         n = F.col("__n")
     train = F.greatest(F.lit(1), F.round(n * shares[0])).cast("long")
     if len(shares) == 2:
