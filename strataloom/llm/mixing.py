@@ -76,7 +76,7 @@ def mix_sources(
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     targets = mixing_targets(totals.select("source", "source_size"), weights, max_epochs)
     rows = narrow.count()
-    cells = 1 << max(3, (max(1, rows // ROWS_PER_CELL) - 1).bit_length() + 1)
+    cells = 1 << max(6, (max(1, rows // ROWS_PER_CELL) - 1).bit_length() + 1)
     keyed = narrow.withColumn("__level", level).withColumn("__part", (text_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % cells).cast("int"))
     counted = keyed.groupBy("source", "__level", "__part").agg(F.count(F.lit(1)).alias("__n"))
     ordered = Window.partitionBy("source").orderBy("__level", "__part").rowsBetween(Window.unboundedPreceding, -1)
