@@ -83,7 +83,7 @@ def caruana_select(table: DataFrame, names: list[str], task: str, metric, n_clas
 def stack_weights(table: DataFrame, names: list[str], strength: float = 1e-3, alpha: float = 0.5, rounds: int = 500) -> list[float]:
     """Non-negative elastic net of the label on the predictions by coordinate descent on their Gram matrix; weights sum to 1."""
     n, _, g = weighted_gram(table, [F.col("y"), *[F.col(c) for c in names]])
-    a, b, w = g[1:, 1:] / n, g[1:, 0] / n, np.full(len(names), 1 / len(names))
+    a, b, w = g[1:, 1:] / n, g[1:, 0] / n, np.zeros(len(names))
     for _ in range(rounds):
         for j in range(len(w)):
             rest = b[j] - a[j] @ w + a[j, j] * w[j]
