@@ -138,3 +138,19 @@ def arrow_rows(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.Rec
 def crc32_mod(column, modulus: int):
     """crc32 of a column as text, modulo; null ids count as remainder 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counts`` with ``n`` at or above some value, ``most`` rows at most.
+
+    The value comes from a histogram of n on a logarithmic scale, a few hundred rows; a sort with a
+    limit would send ``most`` rows of every task to the driver.
+    """
+    bucket = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+    histogram = sorted(((r.b, r.k) for r in counts.where(F.col(n) > 0).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least, taken = None, 0
+    for b, k in histogram:
+        if taken + k > most:
+            break
+        least, taken = b, taken + k
+    return counts.where((F.col(n) > 0) & (bucket >= least)) if least is not None else counts.limit(0)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, crc32_mod, materialize, slices, words_of
+from .common import arrow_rows, bytes_of, crc32_mod, materialize, most_frequent, slices, words_of
 from .decontaminate import LOWERED
 
 #: Labelled rows of each class that the voters and the classifier are fitted on, at most.
@@ -38,11 +38,14 @@ def batch_words(column: pa.Array):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> DataFrame:
-    """(text, toxic) of up to ``per_class`` labelled rows a class, those of least id hash, none of them held out."""
+    """(text, toxic) of up to ``per_class`` labelled rows a class, those of small id hash, none of them held out."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(crc32_mod(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]
-    picked = known.where("toxic = 1").orderBy(*order).limit(per_class).union(known.where("toxic = 0").orderBy(*order).limit(per_class))
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # A share of the ids by hash, 4 % below the bound where there are more, as hashes scatter.
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 7), 16, 10).cast("long")
+    upto = {k: (1 << 28) if n <= per_class else int((1 << 28) * 0.96 * per_class / n) for k, n in sizes.items()}
+    picked = known.where(place < F.when(F.col("toxic") == 1, F.lit(upto.get(1, 0))).otherwise(F.lit(upto.get(0, 0))))
     picked = picked.select(F.col("doc_id").alias("__id"), "toxic")
     # At most 2 * per_class rows of 12 bytes.
     texts = docs.select(F.col(f"`{id_col}`").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -83,7 +86,8 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
     rate = min(max(texts.get(1, 0) / max(1, sum(texts.values())), 1e-6), 0.999)
     tried = max(1, counted.where("toxic + other >= 3").count())
     # Fewer than 20,000 can be that certain: each takes several of a bounded number of texts' words.
-    sure = counted.where((F.col("toxic") >= 3) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("other")))).orderBy(F.desc("toxic"), "name").limit(20_000).collect()
+    sure = counted.where((F.col("toxic") >= 3) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("other"))))
+    sure = most_frequent(sure, "toxic", 20_000).collect()
     candidates = {r.name: (r.toxic, r.other) for r in sure if math.log(tried) + tail(r.toxic, r.toxic + r.other, rate) <= math.log(risk)}
 
     def contexts(batches):
