@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +19,10 @@ STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
 
+#: Words of a unit beyond which it is cut, and how many words a cut takes on average.
+LONG_UNIT, CUT_EVERY = 16, 8
+
+
 def unit_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions where units end: after a line break, after a stop before white space, and at the end of a text."""
     end = np.zeros(len(data) + 1, bool)
@@ -26,6 +33,22 @@ def unit_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(end[1:]) + 1
 
 
+def cut_long(raw: bytes, a: int, b: int) -> list[tuple[int, int, list[bytes]]]:
+    """(start, end, words) of the parts of raw[a:b]: cut after each word whose own hash says so, so
+    that a passage is cut in the same places wherever it stands."""
+    parts, start, words = [], a, []
+    for m in re.finditer(rb"\S+", raw[a:b]):
+        words.append(m.group().lower())
+        if zlib.crc32(words[-1]) % CUT_EVERY == 0:
+            parts.append((start, a + m.end(), words))
+            start, words = a + m.end(), []
+    if words or not parts:
+        parts.append((start, b, words))
+    elif start < b:
+        parts[-1] = (parts[-1][0], b, parts[-1][2])
+    return parts
+
+
 def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -> DataFrame:
     """Units of whole texts: (row, doc_id, unit, start, end, words, high, low); places are counted in
     characters, the digest is 128 bits of the normalised words."""
@@ -37,12 +60,15 @@ def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -
         for piece in slices(batches, "text"):
             data, offsets = bytes_of(piece.column("text"))
             raw, ends = data.tobytes(), unit_ends(data, offsets)
-            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-            digests, sizes = [], []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            starts, ends, digests, sizes = np.concatenate([[0], ends[:-1]])[: len(ends)].tolist(), ends.tolist(), [], []
+            places = []
+            for a, b in zip(starts, ends, strict=True):
                 words = raw[a:b].lower().split()
-                sizes.append(len(words))
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= min_unit_words else b"")
+                for x, y, w in ((a, b, words),) if len(words) <= LONG_UNIT else cut_long(raw, a, b):
+                    places.append((x, y))
+                    sizes.append(len(w))
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= min_unit_words else b"")
+            starts, ends = np.array(places, np.int64).reshape(-1, 2).T
             sizes = np.array(sizes, np.int64)
             kept = np.flatnonzero(sizes >= min_unit_words)
             digest = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
@@ -63,8 +89,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Spans to remove: (doc_id, row, start, end, n_units, n_words, first_doc_id).
 
     A unit is a sentence within a line, or a line without one, with A-Z lower-cased and white space
-    collapsed; the two levels find passages that are lines or paragraphs of their own as well as
-    passages inside longer lines. Equal units of ``min_unit_words`` words or more are grouped over
+    collapsed; one of more than ``LONG_UNIT`` words is cut where its words' own hashes say. So
+    passages are found that are lines or paragraphs of their own, and also inside longer lines. Equal units of ``min_unit_words`` words or more are grouped over
     the whole corpus, and all but the earliest, by document id and place (null ids last), are
     repeats. Runs of repeats next to each other are spans; those of ``min_span_words`` words or
     more are returned, so that phrases that texts share by chance stay. ``start`` and ``end`` are
@@ -79,6 +105,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = materialize(units_of(docs, id_col, text_col, min_unit_words), "units")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("start").alias("at"), F.col("row").alias("row"))
     first = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low", "first")
+    # Written, so that the join deals both sides anew and Spark can split a hot digest's rows.
+    first = materialize(first, "units-first")
     met = units.join(first, ["high", "low"]).where(~((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.at"))))
     own = Window.partitionBy("row").orderBy("unit")
     runs = met.withColumn("run", F.col("unit") - F.row_number().over(own))
