@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_path, ship, write_atomic
+from .common import filesystem, materialize, shared_path, ship, write_atomic
 
 DICTIONARY_FRAME, ZSTD_FRAME, EOL = 0x184D2A5D, 0xFD2FB528, b"\r\n"
 
@@ -281,6 +281,8 @@ def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     p = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.encode(F.col(f"`{html_col}`").cast("string"), "UTF-8"), F.lit(b"")).alias("html"))
     hexed = p.withColumn("__sha1", F.sha1("html"))
     best = hexed.where(F.octet_length("html") >= min_bytes).groupBy(F.col("__sha1").alias("__key")).agg(F.max("page_id").alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    # Written, so that the join deals both sides anew and Spark can split a hot digest's rows.
+    best = materialize(best, "warc-best")
     joined = hexed.join(best, hexed["__sha1"] == best["__key"], "left")
     refers = F.when(F.col("__best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__best")), F.col("__best"))
     rows = joined.select("page_id", "url", "html", base32("__sha1").alias("digest"), refers.alias("refers_to"))
