@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, slices, sums
+from .common import arrow_rows, bytes_of, materialize, most_frequent, slices, sums
 from .pretokens import Encoder
 
 #: Entries of the broadcast table; about 1 MB.
@@ -26,7 +27,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str, tokenizer_path: str, size
         encoder, counts = Encoder(tokenizer_path, len), {}
         for piece in slices(batches, text_col):
             index, tokens, _, _ = encoder.cut(piece.column(text_col))
-            for t, n in zip(tokens, pc_counts(index, len(tokens)), strict=True):
+            for t, n in zip(tokens, np.bincount(index, minlength=len(tokens)).tolist(), strict=True):
                 counts[t] = counts.get(t, 0) + n
             if len(counts) > 50 * per_task:
                 counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: 10 * per_task])
@@ -34,13 +35,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str, tokenizer_path: str, size
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["token", "n"])
 
     found = arrow_rows(docs, [text_col], top, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [bytes(r.token) for r in found.orderBy(F.desc("n"), "token").limit(size).collect()]
-
-
-def pc_counts(index, size: int) -> list[int]:
-    import numpy as np
-
-    return np.bincount(index, minlength=size).tolist()
+    return [bytes(r.token) for r in most_frequent(materialize(found, "frequent-pretokens"), "n", size).collect()]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, frequent: int = FREQUENT) -> DataFrame:
@@ -59,8 +54,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     table = spark.sparkContext.broadcast((tokens, lengths))
 
     def run(batches):
-        import numpy as np
-
         encoder = Encoder(tokenizer_path, len, dict(zip(*table.value, strict=True)))
         for piece in slices(batches, text_col):
             column = piece.column(text_col)
