@@ -27,8 +27,8 @@ BLANK, SPACE, LETTER, NUMBER, OTHER, UNSURE = range(6)
 #: Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-#: Entries that a worker's cache may hold before it starts anew; about 250 MB.
-CACHE_ENTRIES = 1_200_000
+#: Entries that a worker's cache may hold before it starts anew; about 170 MB.
+CACHE_ENTRIES = 800_000
 
 #: Caches of this Python worker, which serves many tasks: by tokenizer file and kind of value.
 CACHES: dict[tuple, dict[bytes, object]] = {}
