@@ -17,6 +17,12 @@ SEGMENTS, RADIUS = 8, 3
 #: Fingerprints of one key that are compared in one piece; larger buckets are cut into tiles.
 TILE = 4096
 
+#: Texts that are sampled for frequent shingles, and in how many of them a frequent one is.
+SAMPLE, FREQUENT = 5000, 5
+
+#: Columns of the parities of a text's shingles, and members of a bucket that meet all others before all pairs do.
+PARITIES, HEADS = ("p0", "p1", "p2", "p3"), 8
+
 
 def shingle_hashes(text: bytes, n: int, seed: int) -> np.ndarray:
     """XXH64 of each run of ``n`` words (all words if there are fewer), in order, repeats included."""
@@ -187,11 +193,87 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = RADIUS, seed: int
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_signatures(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...]) -> DataFrame:
-    """(doc_id, own, v, f0, f1, ...): a hash of the text as it is, one of its words in order, and for
-    each seed the SimHash of the set of its words."""
+def frequent_shingles(docs: DataFrame, n: int, id_col: str, text_col: str) -> np.ndarray:
+    """Sorted hashes of the shingles in at least ``FREQUENT`` texts of a sample of about ``SAMPLE``.
+
+    They only order the shingles, so the sample decides about time and never about results.
+    """
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches):
+        for piece in slices(batches, text_col):
+            data, offsets = bytes_of(piece.column(text_col))
+            raw, at = data.tobytes(), offsets.tolist()
+            grams = [np.unique(shingle_hashes(raw[a:b], n, 42)) for a, b in zip(at, at[1:], strict=False)]
+            found, count = np.unique(np.concatenate(grams), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], ["gram", "n"])
+
+    counted = arrow_rows(picked, [id_col, text_col], run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(counted.where(F.col("n") >= FREQUENT).select("gram").toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefix_of(grams: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first of sorted distinct ``grams``, frequent ones last: two sets of at least this Jaccard
+    similarity share one of them, as each set has fewer others than it may miss."""
+    size = len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1 if len(grams) else 0
+    if len(frequent) and len(grams):
+        late = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+        grams = np.concatenate([grams[~late], grams[late]])
+    return grams[:size]
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """256 parities of the hashes by their last byte: of two sets no more of them differ than members do."""
+    return np.frombuffer(parities(grams, 256), np.int64)
+
+
+def parities(grams: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def long_parity(grams: np.ndarray) -> bytes:
+    """Parities of the hashes by their last bits, a power of two of them and about one a member."""
+    return parities(grams, max(256, 1 << max(0, len(grams) - 1).bit_length()))
+
+
+def parities_apart(p: bytes, q: bytes) -> int:
+    """In how many parities two sets differ; the longer one is folded to the other's length."""
+    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def most_apart(size, similarity: float):
+    """Members by which two sets of this Jaccard similarity and ``size`` members together differ at most."""
+    return (1 - similarity) / (1 + similarity) * size + 1e-9
+
+
+def plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The (x, y) whose sizes and long parities allow the similarity."""
+    each = texts.select("v", "size", "odds")
+    named = pairs.join(each.toDF("x", "a", "p"), "x").join(each.toDF("y", "b", "q"), "y")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+            apart = np.fromiter((parities_apart(p, q) if fit else 0 for p, q, fit in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), ok, strict=True)), np.int64, len(a))
+            yield batch.select(["x", "y"]).filter(pa.array(ok & (apart <= most_apart(a + b, similarity))))
+
+    return arrow_rows(named, ["x", "y", "a", "b", "p", "q"], run, "x long, y long")
+
+
+def word_signatures(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...], n: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, own, v, f0, f1, ..., size, p0, ..., p3, odds, prefix): a hash of the text as it is, one of
+    its words in order, for each seed the SimHash of the set of its words, and the number, parities,
+    long parities and prefix of its distinct ``n``-word shingles."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
-    names = ["doc_id", "own", "v", *(f"f{i}" for i in range(len(seeds)))]
+    names = ["doc_id", "own", "v", *(f"f{i}" for i in range(len(seeds))), "size", *PARITIES]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         import xxhash
@@ -211,9 +293,77 @@ def word_signatures(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[in
             for seed in seeds:
                 hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
                 prints.append(np.array([fingerprint(hashes[index[a:b]]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("own"), pa.array(np.array(keys, np.uint64).view(np.int64)), *map(pa.array, prints)], names)
+            grams = [np.unique(shingle_hashes(raw[a:b], n, 42)) for a, b in zip(at, at[1:], strict=False)]
+            short = np.array([parity(g) for g in grams], np.int64).reshape(-1, len(PARITIES))
+            odds = pa.array([long_parity(g) for g in grams], pa.binary())
+            prefixes = pa.array([prefix_of(g, similarity, shared.value).view(np.int64) for g in grams], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("own"), pa.array(np.array(keys, np.uint64).view(np.int64)), *map(pa.array, prints), pa.array([len(g) for g in grams], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in short.T), odds, prefixes],
+                [*names, "odds", "prefix"],
+            )
+
+    return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names) + ", odds binary, prefix array<long>")
+
+
+def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None = None) -> DataFrame:
+    """Distinct pairs (x, y) of ``members`` (key, v, label, size, p0, ..., p3) that meet under a key, have
+    different labels, and whose sizes and parities allow the similarity.
+
+    With ``heads`` only pairs with so many members of each piece, which a hash of key and member
+    picks. Large buckets are cut into blocks whose pairs are pieces, as for fingerprints.
+    """
+    ship(members.sparkSession)
+    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    met = members.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    names = ["key", "piece", "v", "label", "size", *PARITIES]
+    pieces = met.select("*", other.alias("other")).withColumn("piece", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).select(*names)
+    dealt = pieces.repartition(F.col("key"), F.col("piece")).sortWithinPartitions("key", "piece", "v")
+
+    def allowed(i, others, rows):
+        _, _, _, label, size, *bits = rows
+        a, b = size[i], size[others]
+        ok = (label[i] != label[others]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+        apart = sum(np.bitwise_count((p[i] ^ p[others]).view(np.uint64)).astype(np.int64) for p in bits)
+        return ok & (apart <= most_apart(a + b, similarity))
+
+    def found(rows):
+        key, piece, v = rows[:3]
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])]))
+        size = np.diff(np.concatenate([edge, [len(key)]]))
+        two = edge[size == 2]
+        ok = allowed(two, two + 1, rows)
+        out = [np.column_stack([v[two][ok], v[two + 1][ok]])]
+        for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            group = np.arange(at, at + n)
+            if heads is None or n <= 2 * heads:
+                tested = ((i, group[i - at + 1 :]) for i in group)
+            else:
+                order = np.argsort((v[group] ^ key[at]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                tested = ((i, group) for i in group[order[:heads]])
+            for i, others in tested:
+                hit = others[allowed(np.full(len(others), i), others, rows)]
+                out.append(np.column_stack([np.full(len(hit), v[i]), v[hit]]))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["x", "y"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            before = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            last = int(before[-1]) + 1 if len(before) else 0
+            if last:
+                yield found([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+        if held is not None and len(held[0]):
+            yield found(held)
 
-    return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names))
+    return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -235,21 +385,37 @@ def drop_near_duplicates(
     """``docs`` with one row of each group of near copies: the one of least id (null ids last).
 
     Two texts are near copies if they have the same words in order, or if the sets of their
-    ``n``-word shingles have a Jaccard similarity of ``similarity`` or more. SimHash over shingles
-    that long puts copies of 0.8 at some 8 bits of 64, out of reach of selective keys; over the set
-    of single words they lie within 3 bits or little more. So candidates come from that fingerprint
-    under each of ``seeds``, through the same keys, which are complete for 3 bits and find many of
-    up to ``accept``; each candidate is then checked on its shingles. In a bucket candidates form a
-    spanning forest, and texts of one fingerprint meet its first, so their number is bounded by
-    texts times seeds. Groups are chains of near copies.
+    ``n``-word shingles have a Jaccard similarity of ``similarity`` or more; groups are chains of
+    near copies, and none of that similarity is missed but by a collision of 64-bit hashes.
+
+    Most links come from SimHash over the set of single words under each of ``seeds``: the keys are
+    complete for 3 bits and find many of up to ``accept``, and a bucket's candidates form a spanning
+    forest. The rest comes from the shingles themselves: similar sets share one of each set's first
+    shingles in a common order (``prefix_of``). Where texts of one such shingle aren't in one group
+    yet, first a few of them meet all others and then all pairs from different groups meet that
+    sizes and parities allow. Every pair is checked on its shingles before it links anything.
 
     Null texts count as empty, empty ones are copies of each other, and rows that repeat another
     leave one. All columns are kept, and text columns meet shuffles once for the candidates and
     once for the result.
     """
-    own = materialize(word_signatures(docs, id_col, text_col, seeds), "near-signatures")
+    own = materialize(word_signatures(docs, id_col, text_col, seeds, n, similarity, frequent_shingles(docs, n, id_col, text_col)), "near-signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))
-    texts = materialize(own.groupBy("v").agg(F.min(rank).alias("first"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(len(seeds)))), "near-texts")
+    details = ["size", *PARITIES]
+    texts = materialize(own.groupBy("v").agg(F.min(rank).alias("first"), *(F.min(c).alias(c) for c in [*(f"f{i}" for i in range(len(seeds))), *details, "odds"])), "near-texts")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("__own", F.xxhash64("text"))
+
+    def checked(pairs):
+        """Links (a, b): the pairs that are similar by their shingles."""
+        pairs = materialize(plausible(pairs, texts, similarity), "near-plausible")
+        # Written, so that Spark knows whether they are few enough to leave the texts where they are.
+        asked = materialize(pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct().join(texts.select("v", "first.doc_id", "first.own"), "v"), "near-asked")
+        fetched = source.join(asked, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("own"))).select("v", "text")
+        sets = materialize(shingle_sets(fetched, n).dropDuplicates(["v"]), "near-shingles")
+        both = pairs.join(sets.select(F.col("v").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("grams").alias("q")), "y")
+        shared = F.size(F.array_intersect("p", "q"))
+        return materialize(both.where(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-links")
+
     pairs = None
     for i in range(len(seeds)):
         heads = texts.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("v").alias("head"))
@@ -259,14 +425,16 @@ def drop_near_duplicates(
         found = ends.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         pairs = found if pairs is None else pairs.unionByName(found)
     pairs = materialize(pairs.distinct(), "near-candidates")
-    asked = pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct().join(texts.select("v", "first.doc_id", "first.own"), "v")
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("__own", F.xxhash64("text"))
-    fetched = source.join(asked, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("own"))).select("v", "text")
-    sets = materialize(shingle_sets(fetched, n).dropDuplicates(["v"]), "near-shingles")
-    both = pairs.join(sets.select(F.col("v").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("grams").alias("q")), "y")
-    shared = F.size(F.array_intersect("p", "q"))
-    near = both.where(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = connected_components(materialize(near, "near-links"))
+    links, tested = checked(pairs), pairs
+    labels = connected_components(links)
+    posts = own.select(F.explode("prefix").alias("key"), "v")
+    shared_keys = posts.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key")
+    members = materialize(posts.join(shared_keys, "key").distinct(), "near-members")
+    for heads in (HEADS, None):
+        named = members.join(texts.select("v", *details), "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        more = materialize(pairs_of(named, similarity, tile, heads).join(tested, ["x", "y"], "left_anti"), "near-pairs")
+        links, tested = links.unionByName(checked(more)), tested.unionByName(more)
+        labels = connected_components(links)
     named = own.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     # All rows but the first of each group; a row and its repeats are told apart by dropping repeats afterwards.
     first = named.groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")

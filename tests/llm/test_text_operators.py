@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -277,6 +278,42 @@ def test_near_copies_leave_one(docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def edited_groups(rng, groups, copies, share):
+    """Texts of ``groups`` originals and their copies, of which each has a share of its words replaced."""
+    out = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 240))]
+        out.append(base)
+        for _ in range(copies):
+            w = list(base)
+            for k in rng.sample(range(len(w)), max(1, round(len(w) * rng.uniform(*share)))):
+                w[k] = f"x{rng.randrange(10**6)}"
+            out.append(w)
+    rng.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("groups, copies, share", [(3, 150, (0.012, 0.021))])
+def test_near_copies_of_edited_groups(spark, groups, copies, share):
+    texts = edited_groups(random.Random(11), groups, copies, share)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                group[y] = x
+    for tile in (simhash.TILE, 16):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tile=tile)
+        assert {r.doc_id for r in kept.collect()} == {find(i) for i in range(len(texts))}
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(900):
