@@ -293,7 +293,7 @@ def edited_groups(rng, groups, copies, share):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("groups, copies, share", [(3, 150, (0.012, 0.021))])
+@pytest.mark.parametrize("groups, copies, share", [(3, 150, (0.012, 0.021)), (40, 4, (0.02, 0.03))])
 def test_near_copies_of_edited_groups(spark, groups, copies, share):
     texts = edited_groups(random.Random(11), groups, copies, share)
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
