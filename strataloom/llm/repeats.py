@@ -1,8 +1,7 @@
-"""Substring dedup by hashing lines and the sentences in them: the earliest occurrence stays."""
+"""Substring dedup by hashing units that are cut by content: the earliest occurrence stays."""
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -19,8 +18,11 @@ STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
 
-#: Words of a unit beyond which it is cut, and how many words a cut takes on average.
-LONG_UNIT, CUT_EVERY = 16, 8
+#: Words among which one of least hash ends a unit: a passage of 50 words has 25 in whole units of its own.
+WINDOW = 7
+
+#: Bytes of text whose words and units a worker holds at a time.
+PIECE_BYTES = 400_000
 
 
 def unit_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -33,20 +35,37 @@ def unit_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(end[1:]) + 1
 
 
-def cut_long(raw: bytes, a: int, b: int) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, words) of the parts of raw[a:b]: cut after each word whose own hash says so, so
-    that a passage is cut in the same places wherever it stands."""
-    parts, start, words = [], a, []
-    for m in re.finditer(rb"\S+", raw[a:b]):
-        words.append(m.group().lower())
-        if zlib.crc32(words[-1]) % CUT_EVERY == 0:
-            parts.append((start, a + m.end(), words))
-            start, words = a + m.end(), []
-    if words or not parts:
-        parts.append((start, b, words))
-    elif start < b:
-        parts[-1] = (parts[-1][0], b, parts[-1][2])
-    return parts
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of all texts."""
+    word = ~WHITE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = word & (edge[:-1] | np.concatenate([[True], ~word[:-1]]))
+    ends = word & (edge[1:] | np.concatenate([~word[1:], [True]]))
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def least_of_windows(hashes: np.ndarray, text: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Whether each word has the least hash, the last one of equal ones, of some ``window`` words of its text;
+    words all the same choose none."""
+    chosen = np.zeros(len(hashes), bool)
+    if len(hashes) >= window:
+        each = np.lib.stride_tricks.sliding_window_view(hashes, window)
+        at = np.arange(len(each)) + window - 1 - each[:, ::-1].argmin(axis=1)
+        chosen[at[(text[: len(each)] == text[window - 1 :]) & (each.max(axis=1) > each.min(axis=1))]] = True
+    return chosen
+
+
+def digest_ranges(first: np.ndarray, last: np.ndarray, lines: np.ndarray, texts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words [from, to) that stand for the units [first, last): ``least`` of them at least, the next
+    ones within the sentence or line, else the ones before; short sentences take what follows.
+    ``lines`` and ``texts`` are the bounds of all sentences and texts in words."""
+    line = np.searchsorted(lines, first, "right") - 1
+    text = np.searchsorted(texts, first, "right") - 1
+    low, high = lines[line], lines[line + 1]
+    short = high - low < least
+    to = np.minimum(np.maximum(last, first + least), np.where(short, texts[text + 1], high))
+    return np.where(short, first, np.minimum(first, np.maximum(low, to - least))), to
 
 
 def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -> DataFrame:
@@ -57,22 +76,28 @@ def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -
     def run(batches):
         import xxhash
 
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             data, offsets = bytes_of(piece.column("text"))
-            raw, ends = data.tobytes(), unit_ends(data, offsets)
-            starts, ends, digests, sizes = np.concatenate([[0], ends[:-1]])[: len(ends)].tolist(), ends.tolist(), [], []
-            places = []
-            for a, b in zip(starts, ends, strict=True):
-                words = raw[a:b].lower().split()
-                for x, y, w in ((a, b, words),) if len(words) <= LONG_UNIT else cut_long(raw, a, b):
-                    places.append((x, y))
-                    sizes.append(len(w))
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= min_unit_words else b"")
-            starts, ends = np.array(places, np.int64).reshape(-1, 2).T
-            sizes = np.array(sizes, np.int64)
-            kept = np.flatnonzero(sizes >= min_unit_words)
+            raw, (begin, finish) = data.tobytes().lower(), words_at(data, offsets)
+            if not len(begin):
+                continue
+            bounds = list(zip(begin.tolist(), finish.tolist(), strict=True))
+            hashes = np.fromiter((zlib.crc32(raw[a:b]) for a, b in bounds), np.uint32, len(bounds))
+            in_text = np.searchsorted(offsets, begin, "right") - 1
+            lines = np.unique(np.searchsorted(begin, np.concatenate([[0], unit_ends(data, offsets)])))
+            texts = np.unique(np.searchsorted(begin, offsets))
+            last = np.union1d(np.flatnonzero(least_of_windows(hashes, in_text)) + 1, lines[1:])
+            first = np.concatenate([[0], last[:-1]])
+            low, high = digest_ranges(first, last, lines, texts, min_unit_words)
+            digests = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in zip(begin[low].tolist(), finish[high - 1].tolist(), strict=True)]
+            # A unit ends with its last word, or where its sentence, line or text ends; the next one goes on from there.
+            forced = unit_ends(data, offsets)
+            ends, sizes, kept = finish[last - 1], last - first, np.arange(len(first))
+            stop = forced[np.minimum(np.searchsorted(forced, ends), len(forced) - 1)]
+            ends = np.where(np.isin(last, lines), stop, ends)
+            starts = np.where(np.isin(first, texts), offsets[in_text[first]], np.concatenate([[0], ends[:-1]]))
             digest = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            text = np.searchsorted(offsets, starts[kept], "right") - 1
+            text = in_text[first]
             characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             base = characters[offsets[text]]
             unit = np.arange(len(kept)) - np.searchsorted(text, text, "left")
@@ -88,10 +113,11 @@ def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_unit_words: int = 4, min_span_words: int = 25) -> DataFrame:
     """Spans to remove: (doc_id, row, start, end, n_units, n_words, first_doc_id).
 
-    A unit is a sentence within a line, or a line without one, with A-Z lower-cased and white space
-    collapsed; one of more than ``LONG_UNIT`` words is cut where its words' own hashes say. So
-    passages are found that are lines or paragraphs of their own, and also inside longer lines. Equal units of ``min_unit_words`` words or more are grouped over
-    the whole corpus, and all but the earliest, by document id and place (null ids last), are
+    Texts are cut at line breaks, ends of sentences, and after each word that has the least hash of
+    some ``WINDOW`` words, with A-Z lower-cased and white space collapsed. So inside a passage the
+    cuts are the same wherever it stands, and one of 50 words has at least 25 in whole units. A unit
+    is known by its words, or by ``min_unit_words`` around its start where it has fewer. Equal
+    units are grouped over the whole corpus, and all but the earliest, by document id and place (null ids last), are
     repeats. Runs of repeats next to each other are spans; those of ``min_span_words`` words or
     more are returned, so that phrases that texts share by chance stay. ``start`` and ``end`` are
     the original places in characters, and ``first_doc_id`` is the least document in which the

@@ -222,6 +222,19 @@ def test_passage_inside_lines_without_stops(spark):
     assert all(texts[r.doc_id][r.start : r.end].strip() in passage and r.n_words >= 40 for r in found)
 
 
+@pytest.mark.parametrize("stops", [0, 0.1])
+def test_every_passage_of_fifty_words_is_found(spark, stops):
+    rng, rows = random.Random(5), []
+    own = lambda n: [f"w{rng.randrange(10**6)}" + "." * (rng.random() < stops) for _ in range(n)]
+    for i in range(150):
+        passage = own(51)
+        for half in (0, 1):
+            a, b = own(rng.randrange(60)), own(rng.randrange(60))
+            rows.append((2 * i + half, " ".join(a + passage + b)))
+    found = {r.doc_id for r in repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {2 * i + 1 for i in range(150)}
+
+
 def brute_fingerprint(text):
     w = ascii_lower(text).encode().split()
     grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
