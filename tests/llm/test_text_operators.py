@@ -235,6 +235,16 @@ def test_every_passage_of_fifty_words_is_found(spark, stops):
     assert found == {2 * i + 1 for i in range(150)}
 
 
+def test_passages_of_short_lines(spark):
+    lines = "\n".join(f"a{k} b{k}." for k in range(40))
+    bridge = "\n".join([*(f"c{k} d{k} e{k} f{k}." for k in range(8)), "{}", *(f"g{k} h{k} i{k} j{k}." for k in range(8))])
+    rows = [(1, f"{lines}\nmine"), (2, f"yours\n{lines}"), (3, bridge.format("only here.")), (4, bridge.format("just there."))]
+    texts = dict(rows)
+    found = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {2, 4}
+    assert not any("just there" in texts[r.doc_id][r.start : r.end] for r in found)
+
+
 def brute_fingerprint(text):
     w = ascii_lower(text).encode().split()
     grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
