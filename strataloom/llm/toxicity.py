@@ -38,7 +38,8 @@ def batch_words(column: pa.Array):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> DataFrame:
-    """(text, toxic) of up to ``per_class`` labelled rows a class, those of small id hash, none of them held out."""
+    """(text, toxic, weight) of up to ``per_class`` labelled rows a class, those of small id hash, none of
+    them held out; ``weight`` is how many rows of its class a row stands for."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(crc32_mod(F.col("doc_id"), 3) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -46,10 +47,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 7), 16, 10).cast("long")
     upto = {k: (1 << 28) if n <= per_class else int((1 << 28) * 0.96 * per_class / n) for k, n in sizes.items()}
     picked = known.where(place < F.when(F.col("toxic") == 1, F.lit(upto.get(1, 0))).otherwise(F.lit(upto.get(0, 0))))
-    picked = picked.select(F.col("doc_id").alias("__id"), "toxic")
-    # At most 2 * per_class rows of 12 bytes.
+    stands = {k: (1 << 28) / n for k, n in upto.items()}
+    weight = F.when(F.col("toxic") == 1, F.lit(stands.get(1, 1.0))).otherwise(F.lit(stands.get(0, 1.0)))
+    picked = picked.select(F.col("doc_id").alias("__id"), "toxic", weight.alias("weight"))
+    # At most 2 * per_class rows of 20 bytes.
     texts = docs.select(F.col(f"`{id_col}`").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return materialize(texts.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("text", "toxic"), "toxicity-sample")
+    return materialize(texts.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("text", "toxic", "weight"), "toxicity-sample")
+
+
+def class_weights(sample: DataFrame) -> dict[int, float]:
+    """How many rows a sampled row of each class stands for, 1 on average."""
+    found = {r.toxic: (r.weight, r.n) for r in sample.groupBy("toxic").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n")).collect()}
+    mean = sum(w * n for w, n in found.values()) / max(1, sum(n for _, n in found.values()))
+    return {k: found[k][0] / mean if k in found else 1.0 for k in (0, 1)}
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -64,7 +74,8 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
     """(word or stem*, toxic texts, other texts) of what marks toxic texts beyond chance.
 
     Texts with a word or stem are counted by class over the whole sample. One is taken if at least
-    ``precision`` of its texts are toxic and chance gives as much, over all candidates together,
+    ``precision`` of its texts are toxic, each counted as many times as its weight, and chance gives
+    as much by the sample's own counts and rate, over all candidates together,
     with probability ``risk`` at most. Copies of a toxic text are no new evidence, so toxic texts
     count no more than the different neighbours that the word has in them. What a shorter stem
     covers is left out.
@@ -83,10 +94,11 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
 
     counted = materialize(arrow_rows(sample, ["text", "toxic"], count, "name string, toxic long, other long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxicity-words")
     texts = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    stands = class_weights(sample)
     rate = min(max(texts.get(1, 0) / max(1, sum(texts.values())), 1e-6), 0.999)
     tried = max(1, counted.where("toxic + other >= 3").count())
     # Fewer than 20,000 can be that certain: each takes several of a bounded number of texts' words.
-    sure = counted.where((F.col("toxic") >= 3) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("other"))))
+    sure = counted.where((F.col("toxic") >= 3) & (stands[1] * F.col("toxic") >= precision * (stands[1] * F.col("toxic") + stands[0] * F.col("other"))))
     sure = most_frequent(sure, "toxic", 20_000).collect()
     candidates = {r.name: (r.toxic, r.other) for r in sure if math.log(tried) + tail(r.toxic, r.toxic + r.other, rate) <= math.log(risk)}
 
@@ -110,7 +122,7 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
     good = {}
     for name, (toxic, other) in candidates.items():
         n = min(toxic, spread.get(name, 0))
-        if n and n >= precision * (n + other) and math.log(tried) + tail(n, n + other, rate) <= math.log(risk):
+        if n and stands[1] * n >= precision * (stands[1] * n + stands[0] * other) and math.log(tried) + tail(n, n + other, rate) <= math.log(risk):
             good[name] = (toxic, other)
     # Of a stem and what extends it the shorter stands, unless the longer has nearly as many toxic texts and no more others.
     stems = {n: [s for s in stems_of(n.rstrip("*")) if s != n and s in good] for n in good}
@@ -158,7 +170,7 @@ class Voters:
         return np.bincount(text * k + own[hit], minlength=n * k).reshape(n, k).astype(float)
 
 
-def label_model(votes: np.ndarray, seen: tuple[np.ndarray, np.ndarray, int, int] | None = None, rounds: int = 25) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, seen: tuple[np.ndarray, np.ndarray, float, float] | None = None, rounds: int = 25, mass: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden label of each row of binary ``votes``, and the model's estimates.
 
     A voter fires at one rate on toxic and at another on other texts (its accuracy). Voters that
@@ -167,18 +179,20 @@ def label_model(votes: np.ndarray, seen: tuple[np.ndarray, np.ndarray, int, int]
     are estimated together with the labels by expectation maximisation. ``seen`` are each voter's
     toxic and other texts and the number of all of them where labels are known; they stand as
     prior counts, without which voters of different languages could be taken for the two classes.
+    ``mass`` is how many rows each one counts for, 1 by default.
     """
     n, k = votes.shape
     toxic, other, positives, negatives = seen or (np.zeros(k), np.zeros(k), 0, 0)
     if not n:
         return np.zeros(0), {"on": np.zeros(k), "off": np.zeros(k), "weight": np.ones(k)}
-    q = np.where(votes.any(axis=1), 0.95, 0.02)
+    q, mass = np.where(votes.any(axis=1), 0.95, 0.02), np.ones(n) if mass is None else mass
     for _ in range(rounds):
-        on = (q @ votes + toxic + 0.5) / (q.sum() + positives + 1)
-        off = np.minimum(((1 - q) @ votes + other + 0.01) / ((1 - q).sum() + negatives + 1), on)
-        prior = min(max(q.mean(), 1e-4), 0.95)
+        yes, no = q * mass, (1 - q) * mass
+        on = (yes @ votes + toxic + 0.5) / (yes.sum() + positives + 1)
+        off = np.minimum((no @ votes + other + 0.01) / (no.sum() + negatives + 1), on)
+        prior = min(max(yes.sum() / mass.sum(), 1e-4), 0.95)
         both = np.zeros((k, k))
-        for part, rate in ((q, on), (1 - q, off)):
+        for part, rate in ((yes, on), (no, off)):
             rest = (votes - rate) * np.sqrt(part)[:, None]
             both += rest.T @ rest
         spread = np.sqrt(np.maximum(np.diag(both), 1e-9))
@@ -199,15 +213,15 @@ def inputs(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([fires, np.minimum(fires.sum(axis=1), 4), np.log1p(counts.sum(axis=1)), np.ones(len(counts))]).astype(float)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40, mass: np.ndarray | float = 1.0) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last column, the intercept, isn't shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + shrink * w
-        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink)
+        gradient = x.T @ (mass * (p - y)) + shrink * w
+        hessian = (x * (mass * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(shrink)
         step = np.linalg.solve(hessian, gradient)
         w = w - step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-6:
@@ -236,15 +250,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def vote(batches):
         for piece in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(list(voters.counts(piece.column("text")).astype(np.int32)), pa.list_(pa.int32()))], ["counts"])
+            yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(list(voters.counts(piece.column("text")).astype(np.int32)), pa.list_(pa.int32()))], ["toxic", "counts"])
 
     # At most 2 * per_class rows of VOTERS + GROUPS small numbers.
-    rows = arrow_rows(sample, ["text"], vote, "counts array<int>").toArrow().column("counts")
+    voted, stands = arrow_rows(sample, ["text", "toxic"], vote, "toxic int, counts array<int>").toArrow(), class_weights(sample)
+    rows, mass = voted.column("counts"), np.where(voted.column("toxic").to_numpy() == 1, stands[1], stands[0])
     counts = np.array(rows.to_pylist(), float).reshape(len(rows), max(1, voters.size))
     if not voters.size or not len(counts):
         return ToxicityModel(voters, np.array([0.0] * (max(1, voters.size) + 2) + [-5.0]))
-    posterior, _ = label_model((counts > 0).astype(float), (voters.toxic, voters.other, texts.get(1, 0), texts.get(0, 0)))
-    return ToxicityModel(voters, fit_linear(inputs(counts), posterior))
+    posterior, _ = label_model((counts > 0).astype(float), (stands[1] * voters.toxic, stands[0] * voters.other, stands[1] * texts.get(1, 0), stands[0] * texts.get(0, 0)), mass=mass)
+    return ToxicityModel(voters, fit_linear(inputs(counts), posterior, mass=mass))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

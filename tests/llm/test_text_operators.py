@@ -360,6 +360,22 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_precision_of_a_word_ignores_the_share_sampled(spark):
+    # "halfbad" is in 95 % of the toxic and 15 % of the other texts, of which there are ten times as many.
+    rng, rows = random.Random(8), []
+    for i in range(3300):
+        toxic = i % 11 == 0
+        w = [f"q{rng.randrange(10**6)}" for _ in range(8)]
+        w[3] = "vileword" if toxic else w[3]
+        w[5] = "halfbad" if rng.random() < (0.95 if toxic else 0.15) else w[5]
+        rows.append((i, " ".join(w), 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    sample = toxicity.training_sample(docs, docs.select("doc_id", "quality", "toxic"), "doc_id", "text", 250)
+    names = {n for n, _, _ in toxicity.learn_lexicon(sample)}
+    assert any("vileword".startswith(n.rstrip("*")) for n in names)
+    assert not any("halfbad".startswith(n.rstrip("*")) for n in names)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.2
