@@ -45,6 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named Parquet table. Files of fewer row groups than there are cores are dealt out, as one
+    row group is one task."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def filesystem(uri: str):
     """(file system, path) for a URI or a plain path, on the driver and on executors alike."""
     from pyarrow import fs

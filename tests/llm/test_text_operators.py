@@ -194,12 +194,105 @@ def test_language_model(docs, none):
     assert language_model.score_texts(none).count() == 0
 
 
-def test_byte_model_is_a_distribution():
+def bit_model(words):
+    """A model with the counts of some words and weights that aren't the ones to start with."""
+    bits = language_model.bits_for(len(words))
+    seen, rng = np.zeros((sum(1 << b for b in bits), 2), np.uint16), np.random.default_rng(1)
+    units = language_model.Units(language_model.pa.array(words).cast(language_model.pa.large_binary()))
+    places = language_model.places_of(units.flat, units.size, bits)
+    for root, byte, n in zip(places.root, places.byte.tolist(), places.times.tolist(), strict=True):
+        for bit in range(8):
+            seen[root ^ ((1 << bit) | (byte >> (8 - bit))), byte >> (7 - bit) & 1] += n
+    model = language_model.BitModel.start(bits, seen[:, 0].copy(), seen[:, 1].copy())
+    model.weights += rng.uniform(-0.1, 0.1, model.weights.shape).astype(np.float32)
+    return model
+
+
+VOCABULARY = ["alpha", "alphabet", "beta", "über", "the", "then", "there", "a", "x" * 3000]
+
+
+def test_bits_of_a_byte_are_a_distribution():
+    z, _ = bit_model(VOCABULARY).predict(np.arange(256, dtype=np.uint8), np.ones(256, np.int64))
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)
+    p = 1 / (1 + np.exp(-z.astype(float)))
+    assert np.where(bits == 1, p, 1 - p).prod(axis=1).sum() == pytest.approx(1, abs=1e-3)
+
+
+def scalar_spelling(model, units):
+    """log10 of each unit's probability in a text of these units, bit by bit."""
+    weights, refined = model.weights.astype(float), model.refined.astype(float)
+    gain, bias = [1.0] * 12, [0.0] * 12
+    curve, slope, out = [[200.0] * 12, [200.0] * 12], None, []
+    for k, unit in enumerate(units):
+        if k == 0 or (k >= 16 and k & (k - 1) == 0):  # a segment starts
+            if slope:
+                gain = [min(max(g + s / c, 0.5), 1.5) for g, s, c in zip(gain, slope[0], curve[0], strict=True)]
+                bias = [min(max(b + s / c, -1), 1) for b, s, c in zip(bias, slope[1], curve[1], strict=True)]
+            slope = [[0.0] * 12, [0.0] * 12]
+        total = 0.0
+        for depth, byte in enumerate(unit):
+            # The places of a prefix alone: its last byte's.
+            root = language_model.places_of(np.frombuffer(unit[: depth + 1], np.uint8), np.array([depth + 1]), model.bits).root[-1].tolist()
+            for bit in range(8):
+                node, value = (1 << bit) | (byte >> (8 - bit)), byte >> (7 - bit) & 1
+                counts = [(int(model.zeros[r ^ node]), int(model.ones[r ^ node])) for r in root]
+                x = [round(10 * (math.log(b + 0.3) - math.log(a + 0.3))) / 10 for a, b in counts]
+                level = [(a + b > 0) + (a + b >= 8) for a, b in counts]
+                w = weights[(level[5] * 3 + level[6]) * 8 + bit]
+                z = sum(a * b for a, b in zip(x, w, strict=False)) + w[-1]
+                p = 1 / (1 + math.exp(-z)) / 2 + refined[node, min(max(round((z + 8) * 2), 0), 32)] / 2
+                z = math.log(p / (1 - p))
+                if bit == 0:
+                    kind = min(depth, 3) * 3 + level[6]
+                q = 1 / (1 + math.exp(-(gain[kind] * z + bias[kind])))
+                total += math.log10(q if value else 1 - q)
+                slope[0][kind] += (value - q) * z
+                slope[1][kind] += value - q
+                curve[0][kind] += q * (1 - q) * z * z
+                curve[1][kind] += q * (1 - q)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("kept", [0, language_model.KEPT_BYTES])
+def test_spelling_against_a_scalar_version(kept, monkeypatch):
+    monkeypatch.setattr(language_model, "KEPT_BYTES", kept)
+    monkeypatch.setattr(language_model, "MEET_BYTES", 40)
+    model, rng = bit_model(VOCABULARY), random.Random(2)
+    texts = [[rng.choice([*VOCABULARY[:8], "unseen", "thé"]) for _ in range(n)] for n in (0, 1, 15, 16, 17, 40, 130)]
+    distinct = sorted({w for t in texts for w in t})
+    units = language_model.Units(language_model.pa.array(distinct).cast(language_model.pa.large_binary()))
+    unit = np.array([distinct.index(w) for t in texts for w in t])
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = language_model.spell(model, units, unit, offsets)
+    expected = [x for t in texts for x in scalar_spelling(model, [w.encode() + b"\xff" for w in t])]
+    assert found == pytest.approx(expected, abs=2e-3)
+
+
+def test_long_words_are_spelled_in_pieces():
+    units = language_model.Units(language_model.pa.array(["a" * 1023, "b" * 1024, "c" * 3000, ""]).cast(language_model.pa.large_binary()))
+    assert units.size.tolist() == [1024, 1024, 1, 1024, 1024, 953, 1] and units.pieces.tolist() == [1, 2, 3, 1]
+    assert units.flat[units.start + units.size - 1].tolist() == [255, 98, 255, 99, 99, 255, 255]
+
+
+def test_scores_use_the_counts_of_the_corpus(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.02)), 299)] for _ in range(200))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r.doc_id: r for r in language_model.score_texts(frame, hot_tokens=n).collect()} for n in (20, 10_000))
+    for i in few:  # joined or broadcast, counts give the same
+        assert few[i].score == pytest.approx(many[i].score, rel=1e-6) and few[i].base_score == pytest.approx(many[i].base_score, rel=1e-9)
+    held = [r for r in many.values() if r.held_out]
+    # Words come by themselves here, so the counts of words are all there is to know; blanks and ends cost little more.
+    assert held and sum(r.score for r in held) > 1.03 * sum(r.base_score for r in held)
+
+
+def test_one_very_long_text(spark):
     rng = np.random.default_rng(0)
-    grams = rng.integers(0, 1 << 40, 3000).astype(np.uint64)
-    model = language_model.ByteModel.start(*language_model.count_bits(grams, np.ones(3000)))
-    every = (grams[0] & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
-    assert (10 ** model.log10(every)).sum() == pytest.approx(1, abs=1e-6)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 50_000, 700_000).tolist()) + " " + "y" * 2_000_000
+    found = language_model.score_texts(spark.createDataFrame([(2, text), (3, "w1 w2")], "doc_id long, text string")).collect()
+    assert {r.n_tokens for r in found} == {700_002, 3} and all(-20 * len(text) < r.score < 0 for r in found)
 
 
 def test_repeated_spans(docs, none):
