@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(v, label) for each vertex of the undirected ``links`` (a, b): the least vertex reachable.
 
-    In each round a vertex takes the least label among itself and its neighbours, and then the
-    label of that label, so that distances halve. Minima combine before the shuffle, so vertices
-    of many links are no hot spots; each round is a table in the shared folder, so lost executors
-    cost a round at most. Only a count reaches the driver. Rounds end when no label changes.
+    Each round points every vertex at its least neighbour, if that is less, follows the pointers to
+    their roots by doubling, and replaces the links by those between roots. A root that stays has
+    taken in a neighbour, or has a lesser one in the next round; so two rounds halve the vertices
+    at least, whatever the order of ids and the length of chains, and rounds end when no link is
+    left. Minima combine before the shuffle, so vertices of many links are no hot spots; what a
+    step gives is a table in the shared folder, so lost executors cost a step at most. Only counts
+    reach the driver. Null ends, loops and repeated links do no harm.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        moved = hooked.join(jump, "label").select("v", "old", F.least("label", "next").alias("label"))
-        moved = materialize(moved, "labels")
-        changed = moved.where("old <> label").limit(1).count()
-        labels = moved.select("v", "label")
-        if not changed:
+    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
+    while True:
+        both = edges.union(edges.select("b", "a"))
+        roots = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), "roots")
+        while True:
+            up = roots.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            moved = materialize(roots.join(up, "label").select("v", F.col("label").alias("old"), F.col("next").alias("label")), "roots")
+            roots = moved.select("v", "label")
+            if not moved.where("old <> label").limit(1).count():
+                break
+        if labels is None:
+            labels = roots
+        else:
+            over = roots.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            labels = materialize(labels.join(over, "label", "left").select("v", F.coalesce("next", "label").alias("label")), "labels")
+        a, b = (roots.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
+        named = edges.join(a, "a").join(b, "b").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
+        edges = materialize(named.where("a <> b").distinct(), "links")
+        if not edges.limit(1).count():
             return labels
-    raise RuntimeError(f"components still changed after {max_rounds} rounds")

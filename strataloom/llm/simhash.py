@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, materialize, ship, slices
+from .common import arrow_rows, bytes_of, materialize, ship, slices, table
 from .graph import connected_components
 
 #: Segments that a fingerprint's 64 bits are cut into, and the largest distance their keys are complete for.
@@ -20,8 +20,17 @@ TILE = 4096
 #: Texts that are sampled for frequent shingles, and in how many of them a frequent one is.
 SAMPLE, FREQUENT = 5000, 5
 
-#: Columns of the parities of a text's shingles, and members of a bucket that meet all others before all pairs do.
-PARITIES, HEADS = ("p0", "p1", "p2", "p3"), 8
+#: A text's sketch is its so many least shingles, or all if it has no more.
+SKETCH = 128
+
+#: Columns of the parities of a sketch, 64 in each.
+PARITIES = tuple(f"p{i}" for i in range(8))
+
+#: Members by which the sketches of two similar texts differ at most, where a text has more shingles than its sketch.
+SKETCHES_APART = 126
+
+#: Members of a bucket that meet all others, in turn, before all pairs do.
+HEADS = (2, 8)
 
 
 def shingle_hashes(text: bytes, n: int, seed: int) -> np.ndarray:
@@ -96,12 +105,7 @@ def chain_holds(difference: np.ndarray, start: np.ndarray | int, radius: int) ->
     return ok
 
 
-def linked(difference: np.ndarray, start: np.ndarray | int, radius: int, accept: int) -> np.ndarray:
-    """Links of a bucket: by the chain that its key starts up to ``radius`` bits, by the distance alone beyond."""
-    return chain_holds(difference, start, radius) if accept <= radius else np.bitwise_count(difference) <= accept
-
-
-def forest(members: np.ndarray, start: int, radius: int, accept: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def forest(members: np.ndarray, start: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever the links of these fingerprints connect, one less than members at most."""
     a, b, left, frontier = [], [], members, []
     while left.size:
@@ -109,7 +113,7 @@ def forest(members: np.ndarray, start: int, radius: int, accept: int = 0) -> tup
             frontier, left = [left[0]], left[1:]
         while frontier and left.size:
             x = frontier.pop()
-            near = linked(left ^ x, start, radius, accept)
+            near = chain_holds(left ^ x, start, radius)
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), x)), b.append(found)
@@ -120,10 +124,9 @@ def forest(members: np.ndarray, start: int, radius: int, accept: int = 0) -> tup
     return np.concatenate([*a, empty]), np.concatenate([*b, empty])
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, accept: int = 0) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) between fingerprints (fp, distinct) that connect exactly what the pairs within
-    ``radius`` bits connect. With ``accept`` above ``radius``, pairs up to ``accept`` bits that
-    happen to meet under a key are linked as well.
+    ``radius`` bits connect.
 
     Fingerprints meet under 24 keys; keys of one fingerprint are dropped. In a bucket only a
     spanning forest of its links is emitted, never all pairs. A bucket of more than ``tile``
@@ -150,10 +153,10 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
             size = np.diff(np.concatenate([edge, [len(key)]]))
             start = (key >> 32) // 3
             two = edge[size == 2]
-            ok = linked(fp[two] ^ fp[two + 1], start[two], radius, accept)
+            ok = chain_holds(fp[two] ^ fp[two + 1], start[two], radius)
             a, b = [fp[two][ok]], [fp[two + 1][ok]]
             for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                x, y = forest(fp[at : at + n], int(start[at]), radius, accept)
+                x, y = forest(fp[at : at + n], int(start[at]), radius)
                 a.append(x), b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a.view(np.int64), b.view(np.int64))), pa.array(np.maximum(a.view(np.int64), b.view(np.int64)))], ["a", "b"])
@@ -188,7 +191,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = RADIUS, seed: int
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     labels = connected_components(materialize(link_fingerprints(distinct.select("fp"), radius, tile), "simhash-links"))
     named = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written, so that the join deals both sides anew and Spark can split a component of many fingerprints.
+    least = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-least")
     classes = named.join(least, "label").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -223,56 +227,27 @@ def prefix_of(grams: np.ndarray, similarity: float, frequent: np.ndarray) -> np.
     return grams[:size]
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
-    """256 parities of the hashes by their last byte: of two sets no more of them differ than members do."""
-    return np.frombuffer(parities(grams, 256), np.int64)
-
-
-def parities(grams: np.ndarray, bits: int) -> bytes:
-    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def long_parity(grams: np.ndarray) -> bytes:
-    """Parities of the hashes by their last bits, a power of two of them and about one a member."""
-    return parities(grams, max(256, 1 << max(0, len(grams) - 1).bit_length()))
-
+def parity(sketch: np.ndarray) -> np.ndarray:
+    """512 parities of the hashes by their last bits: of two sets no more of them differ than members do."""
+    odd = np.bincount((sketch & np.uint64(64 * len(PARITIES) - 1)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def parities_apart(p: bytes, q: bytes) -> int:
-    """In how many parities two sets differ; the longer one is folded to the other's length."""
-    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
-    while len(a) != len(b):
-        a, b = (a, b) if len(a) < len(b) else (b, a)
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
 
+def most_apart(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """By how many members the sketches of two texts of this similarity differ at most, given the
+    texts' numbers of shingles. Whole sets differ by a share of their sizes. Of the 128 least hashes of
+    both sets together each is in both with the similarity as its chance, so 65 are but for one pair
+    of 0.8 in 10**12, and are in both sketches."""
+    whole = (1 - similarity) / (1 + similarity) * (a + b) + 1e-9
+    return np.where(np.maximum(a, b) <= SKETCH, whole, SKETCHES_APART if similarity >= 0.8 else 2 * SKETCH)
 
-def most_apart(size, similarity: float):
-    """Members by which two sets of this Jaccard similarity and ``size`` members together differ at most."""
-    return (1 - similarity) / (1 + similarity) * size + 1e-9
 
-
-def plausible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (x, y) whose sizes and long parities allow the similarity."""
-    each = texts.select("v", "size", "odds")
-    named = pairs.join(each.toDF("x", "a", "p"), "x").join(each.toDF("y", "b", "q"), "y")
-
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
-            ok = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-            apart = np.fromiter((parities_apart(p, q) if fit else 0 for p, q, fit in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), ok, strict=True)), np.int64, len(a))
-            yield batch.select(["x", "y"]).filter(pa.array(ok & (apart <= most_apart(a + b, similarity))))
-
-    return arrow_rows(named, ["x", "y", "a", "b", "p", "q"], run, "x long, y long")
-
-
-def word_signatures(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...], n: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, own, v, f0, f1, ..., size, p0, ..., p3, odds, prefix): a hash of the text as it is, one of
-    its words in order, for each seed the SimHash of the set of its words, and the number, parities,
-    long parities and prefix of its distinct ``n``-word shingles."""
+def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, own, v, fp, size, p0, ..., keys): a hash of the text as it is, one of its words in
+    order, the SimHash of the set of its words, and of its distinct ``n``-word shingles the number,
+    the parities of the sketch, and the keys."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
-    names = ["doc_id", "own", "v", *(f"f{i}" for i in range(len(seeds))), "size", *PARITIES]
+    names = ["doc_id", "own", "v", "fp", "size", *PARITIES]
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -282,32 +257,25 @@ def word_signatures(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[in
             data, offsets = bytes_of(piece.column("text"))
             raw, at = data.tobytes().lower(), offsets.tolist()
             texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
-            keys = [xxhash.xxh3_64_intdigest(b" ".join(t)) for t in texts]
-            sets = [set(t) for t in texts]
-            size = np.array([len(x) for x in sets], np.int64)
-            words = list(set().union(*sets))
-            number = {w: i for i, w in enumerate(words)}
-            index = np.fromiter((number[w] for x in sets for w in x), np.int64, int(size.sum()))
-            upto = np.concatenate([[0], np.cumsum(size)])
-            prints = []
-            for seed in seeds:
-                hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
-                prints.append(np.array([fingerprint(hashes[index[a:b]]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)], np.uint64).view(np.int64))
+            v = np.array([xxhash.xxh3_64_intdigest(b" ".join(t)) for t in texts], np.uint64)
+            known: dict[bytes, int] = {}
+            index = [np.fromiter({known.setdefault(w, len(known)) for w in t}, np.int64) for t in texts]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+            fp = np.array([fingerprint(hashes[i]) for i in index], np.uint64)
             grams = [np.unique(shingle_hashes(raw[a:b], n, 42)) for a, b in zip(at, at[1:], strict=False)]
-            short = np.array([parity(g) for g in grams], np.int64).reshape(-1, len(PARITIES))
-            odds = pa.array([long_parity(g) for g in grams], pa.binary())
-            prefixes = pa.array([prefix_of(g, similarity, shared.value).view(np.int64) for g in grams], pa.list_(pa.int64()))
+            odd = np.array([parity(g[:SKETCH]) for g in grams], np.int64).reshape(-1, len(PARITIES))
+            keys = pa.array([prefix_of(g, similarity, shared.value).view(np.int64) for g in grams], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("own"), pa.array(np.array(keys, np.uint64).view(np.int64)), *map(pa.array, prints), pa.array([len(g) for g in grams], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in short.T), odds, prefixes],
-                [*names, "odds", "prefix"],
+                [piece.column("doc_id"), piece.column("own"), pa.array(v.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([len(g) for g in grams], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in odd.T), keys],
+                [*names, "keys"],
             )
 
-    return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names) + ", odds binary, prefix array<long>")
+    return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
 def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None = None) -> DataFrame:
-    """Distinct pairs (x, y) of ``members`` (key, v, label, size, p0, ..., p3) that meet under a key, have
-    different labels, and whose sizes and parities allow the similarity.
+    """Distinct pairs (x, y) of ``members`` (key, v, label, size, p0, ...) that meet under a key, have
+    different labels, and whose sizes and sketches allow the similarity.
 
     With ``heads`` only pairs with so many members of each piece, which a hash of key and member
     picks. Large buckets are cut into blocks whose pairs are pieces, as for fingerprints.
@@ -325,7 +293,7 @@ def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None
         a, b = size[i], size[others]
         ok = (label[i] != label[others]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
         apart = sum(np.bitwise_count((p[i] ^ p[others]).view(np.uint64)).astype(np.int64) for p in bits)
-        return ok & (apart <= most_apart(a + b, similarity))
+        return ok & (apart <= most_apart(a, b, similarity))
 
     def found(rows):
         key, piece, v = rows[:3]
@@ -379,35 +347,34 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
     return arrow_rows(texts, ["v", "text"], run, "v long, grams array<long>")
 
 
-def drop_near_duplicates(
-    docs: DataFrame, n: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3), accept: int = 8, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE
-) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of least id (null ids last).
 
     Two texts are near copies if they have the same words in order, or if the sets of their
-    ``n``-word shingles have a Jaccard similarity of ``similarity`` or more; groups are chains of
-    near copies, and none of that similarity is missed but by a collision of 64-bit hashes.
+    ``n``-word shingles have a Jaccard similarity of ``similarity`` (0.8 or more) or more; groups are
+    chains of near copies. A pair is missed where 64-bit hashes collide, or by chance, of which a
+    pair of 0.8 has less than one in 10**12.
 
-    Most links come from SimHash over the set of single words under each of ``seeds``: the keys are
-    complete for 3 bits and find many of up to ``accept``, and a bucket's candidates form a spanning
-    forest. The rest comes from the shingles themselves: similar sets share one of each set's first
-    shingles in a common order (``prefix_of``). Where texts of one such shingle aren't in one group
-    yet, first a few of them meet all others and then all pairs from different groups meet that
-    sizes and parities allow. Every pair is checked on its shingles before it links anything.
+    Candidates come from SimHash over the set of single words, by pigeonring for ``RADIUS`` bits as
+    a spanning forest, and from the shingles: similar sets share one of each set's first shingles in
+    a common order (``prefix_of``), and their sketches differ little. Where texts of one such shingle
+    aren't in one group yet, first a few of them meet all others (``HEADS``) and then all pairs from
+    different groups do. Every pair is checked on its shingles before it links anything.
 
     Null texts count as empty, empty ones are copies of each other, and rows that repeat another
-    leave one. All columns are kept, and text columns meet shuffles once for the candidates and
-    once for the result.
+    leave one. All columns are kept, whatever their names, and an empty table gives an empty one.
+    Text columns meet a shuffle in each of the three checks, for the candidates, and in the result.
     """
-    own = materialize(word_signatures(docs, id_col, text_col, seeds, n, similarity, frequent_shingles(docs, n, id_col, text_col)), "near-signatures")
+    if similarity < 0.8:
+        raise ValueError(f"sketches are made for a similarity of 0.8 or more, not {similarity}")
+    own = materialize(text_signatures(docs, id_col, text_col, n, similarity, frequent_shingles(docs, n, id_col, text_col)), "near-signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))
     details = ["size", *PARITIES]
-    texts = materialize(own.groupBy("v").agg(F.min(rank).alias("first"), *(F.min(c).alias(c) for c in [*(f"f{i}" for i in range(len(seeds))), *details, "odds"])), "near-texts")
+    texts = materialize(own.groupBy("v").agg(F.min(rank).alias("first"), *(F.min(c).alias(c) for c in ["fp", *details, "keys"])), "near-texts")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("__own", F.xxhash64("text"))
 
     def checked(pairs):
         """Links (a, b): the pairs that are similar by their shingles."""
-        pairs = materialize(plausible(pairs, texts, similarity), "near-plausible")
         # Written, so that Spark knows whether they are few enough to leave the texts where they are.
         asked = materialize(pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct().join(texts.select("v", "first.doc_id", "first.own"), "v"), "near-asked")
         fetched = source.join(asked, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("own"))).select("v", "text")
@@ -416,37 +383,39 @@ def drop_near_duplicates(
         shared = F.size(F.array_intersect("p", "q"))
         return materialize(both.where(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-links")
 
-    pairs = None
-    for i in range(len(seeds)):
-        heads = texts.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("v").alias("head"))
-        near = link_fingerprints(heads.select("fp"), RADIUS, tile, accept)
-        ends = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-        same = texts.join(heads, F.col(f"f{i}") == F.col("fp")).where("v <> head").select(F.col("v").alias("x"), F.col("head").alias("y"))
-        found = ends.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = materialize(pairs.distinct(), "near-candidates")
-    links, tested = checked(pairs), pairs
-    labels = connected_components(links)
-    posts = own.select(F.explode("prefix").alias("key"), "v")
-    shared_keys = posts.groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").select("key")
-    members = materialize(posts.join(shared_keys, "key").distinct(), "near-members")
-    for heads in (HEADS, None):
-        named = members.join(texts.select("v", *details), "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        more = materialize(pairs_of(named, similarity, tile, heads).join(tested, ["x", "y"], "left_anti"), "near-pairs")
-        links, tested = links.unionByName(checked(more)), tested.unionByName(more)
+    # SimHash: of texts of one fingerprint the least stands for all.
+    heads = texts.groupBy("fp").agg(F.min("v").alias("head"))
+    near = link_fingerprints(heads.select("fp"), RADIUS, tile)
+    ends = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = texts.join(heads, "fp").where("v <> head").select(F.col("v").alias("x"), F.col("head").alias("y"))
+    tested = ends.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    # Keys of one text alone are dropped.
+    posts = texts.select(F.explode("keys").alias("key"), "v")
+    shared_keys = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = materialize(posts.join(shared_keys, "key").join(texts.select("v", *details), "v"), "near-members")
+    first = pairs_of(members.withColumn("label", F.col("v")), similarity, tile, HEADS[0])
+    tested = materialize(tested.unionByName(first).distinct(), "near-pairs")
+    links = checked(tested)
+    for some in (*HEADS[1:], None):
         labels = connected_components(links)
-    named = own.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    # All rows but the first of each group; a row and its repeats are told apart by dropping repeats afterwards.
-    first = named.groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    dropped = named.join(first, "label").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own")))).select(F.col("doc_id").alias("__drop_id"), F.col("own").alias("__drop_own")).distinct()
-    text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    kept = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("__drop_id")) & (text == F.col("__drop_own")), "left_anti")
+        named = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        more = materialize(pairs_of(named, similarity, tile, some).join(tested, ["x", "y"], "left_anti"), "near-pairs")
+        if more.limit(1).count():
+            links, tested = links.unionByName(checked(more)), tested.unionByName(more)
+    labels = connected_components(links)
+    named = own.join(labels, "v", "left").select("doc_id", "own", F.coalesce("label", "v").alias("label"))
+    # All rows but the first of each group, which is written so that the join deals both sides anew
+    # and a hot group can be split; a row and its repeats are told apart by dropping repeats afterwards.
+    least = materialize(named.groupBy("label").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-first")
+    dropped = named.join(least, "label").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own")))).select(F.col("doc_id").alias("__drop_id"), F.col("own").alias("__drop_own")).distinct()
+    identifier, text = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    kept = docs.join(dropped, identifier.eqNullSafe(F.col("__drop_id")) & (text == F.col("__drop_own")), "left_anti")
     if own.groupBy("doc_id", "own").count().where("count > 1").limit(1).count():
-        kept = kept.withColumn("__own", text).dropDuplicates([id_col, "__own"]).drop("__own")
+        kept = kept.withColumns({"__id": identifier, "__own": text}).dropDuplicates(["__id", "__own"]).drop("__id", "__own")
     return kept
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
