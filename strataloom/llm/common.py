@@ -137,9 +137,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_rows(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over the named columns alone, so that clashing extra columns never matter."""
+    """``mapInArrow`` over the named columns alone, so that clashing extra columns never matter, nor
+    does what is in a name."""
     ship(df.sparkSession)
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+    def named(batches):
+        return run(b.rename_columns(columns) for b in batches)
+
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(named, schema)
 
 
 def crc32_mod(column, modulus: int):

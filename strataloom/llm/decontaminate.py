@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, slices, sums, words_of
+from .common import arrow_rows, bytes_of, materialize, slices, sums, table, words_of
 
-#: Benchmark words that one broadcast index covers; larger benchmarks take several passes.
-BLOCK_WORDS = 4_000_000
+#: Benchmark words that one broadcast index covers, some 30 bytes each; larger benchmarks take several passes.
+BLOCK_WORDS = 2_000_000
 
 NONE = np.iinfo(np.uint64).max
 
@@ -65,92 +66,120 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((h == high) & (h != NONE))
 
 
+def window_hashes(ids: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """A hash of the ``length`` word ids from each of some places on."""
+    h = np.full(len(at), seed, np.uint64)
+    for j in range(length):
+        h = (h + ids[at + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 @dataclass
-class Grams:
-    """Benchmark grams by hash: sorted hashes with item and place, and a bit map to pass most others by."""
+class Windows:
+    """Distinct windows of one length: sorted hashes, a place of each in the benchmark, and the items that have it."""
 
+    length: int
+    seed: int
     hashes: np.ndarray
-    item: np.ndarray
     place: np.ndarray
-    seen: np.ndarray = field(default=None)
+    first: np.ndarray
+    items: np.ndarray
 
     @staticmethod
-    def of(hashes, item, place) -> Grams:
-        order = np.argsort(hashes, kind="stable")
-        seen = np.zeros(1 << 20, bool)
-        seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        return Grams(hashes[order], item[order], place[order], seen)
-
-    def pairs(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the texts, item, place in the item) of all equal hashes."""
-        at = at[self.seen[(h[at] >> np.uint64(44)).astype(np.int64)]]
-        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = high - low
-        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[entry], self.place[entry]
+    def of(ids: np.ndarray, at: np.ndarray, item: np.ndarray, length: int) -> Windows:
+        for seed in range(100):
+            hashes, place, index = np.unique(window_hashes(ids, at, length, seed), return_index=True, return_inverse=True)
+            place = at[place]
+            if all((ids[at + j] == ids[place[index] + j]).all() for j in range(length)):  # no two windows have one hash
+                break
+        pairs = np.unique(np.stack([index.reshape(-1), item], 1), axis=0)
+        first = np.searchsorted(pairs[:, 0], np.arange(len(hashes) + 1))
+        return Windows(length, seed, hashes, place.astype(np.int32), first.astype(np.int32), pairs[:, 1].astype(np.int32))
+
+    def find(self, ids: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those places of a text at which one of the windows stands, which one); words are compared."""
+        if not len(self.hashes) or not len(at):
+            return at[:0], at[:0]
+        h = window_hashes(ids, at, self.length, self.seed)
+        window = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = self.hashes[window] == h
+        at, window = at[same], window[same]
+        same = np.ones(len(at), bool)
+        for j in range(self.length):
+            same &= ids[at + j] == own[self.place[window] + j]
+        return at[same], window[same]
 
 
 class BenchmarkIndex:
-    """Word ids and gram tables of some benchmark items; small enough to broadcast."""
+    """Word ids, fingerprints and windows of some benchmark items; small enough to broadcast."""
 
     def __init__(self, item_ids: list, texts: pa.Array, window: int, k: int):
         self.window, self.k, self.item_ids = window, k, item_ids
         data, offsets = bytes_of(texts)
-        words, self.first = words_of(LOWERED[data], offsets)
+        words, first = words_of(LOWERED[data], offsets)
         coded = words.dictionary_encode()
         self.vocabulary = coded.dictionary
-        self.ids = coded.indices.to_numpy().astype(np.int64) + 1 if len(words) else np.zeros(0, np.int64)
-        size = np.diff(self.first)
+        ids = coded.indices.to_numpy().astype(np.int64) + 1 if len(words) else np.zeros(0, np.int64)
+        self.ids = ids.astype(np.int32)
+        size = np.diff(first)
         item_of = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(self.ids)) - self.first[item_of]
-        room = size[item_of] - place
-        h = np.where(size[item_of] >= window, gram_hashes(self.ids, k, room), NONE)
-        at = winnow(h, window - k + 1)
-        self.grams = Grams.of(h[at], item_of[at], place[at])
-        self.short: dict[int, Grams] = {}
+        room = size[item_of] - (np.arange(len(ids)) - first[item_of])
+        h = np.where(size[item_of] >= window, gram_hashes(ids, k, room), NONE)
+        self.prints = np.unique(h[winnow(h, window - k + 1)])
+        at = np.flatnonzero(room >= window)
+        self.windows = [Windows.of(ids, at, item_of[at], window)]
         for m in sorted({int(x) for x in size if 0 < x < window}):
-            h = gram_hashes(self.ids, m, room)
-            at = self.first[:-1][size == m]
-            self.short[m] = Grams.of(h[at], item_of[at], np.zeros(len(at), np.int64))
+            at = first[:-1][size == m]
+            self.windows.append(Windows.of(ids, at, item_of[at], m))
 
     @functools.cached_property
     def lookup(self) -> dict[str, int]:
         """Word ids by word."""
         return {w: i + 1 for i, w in enumerate(self.vocabulary.to_pylist())}
 
+    @functools.cached_property
+    def seen(self) -> np.ndarray:
+        """Marks of the fingerprints' first bits, to pass most others by."""
+        seen = np.zeros(1 << 20, bool)
+        seen[(self.prints >> np.uint64(44)).astype(np.int64)] = True
+        return seen
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "seen")}
+
+    def candidates(self, ids: np.ndarray, offsets: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Where full windows can start: around the fingerprints that the benchmark has too."""
+        if not len(self.prints):
+            return np.zeros(0, np.int64)
+        h = gram_hashes(ids, self.k, room)
+        at = winnow(h, self.window - self.k + 1)
+        at = at[self.seen[(h[at] >> np.uint64(44)).astype(np.int64)]]
+        at = at[self.prints[np.minimum(np.searchsorted(self.prints, h[at]), len(self.prints) - 1)] == h[at]]
+        start = np.zeros(len(ids), bool)
+        for back in range(self.window - self.k + 1):
+            start[np.maximum(at - back, 0)] = True
+        start = np.flatnonzero(start)
+        return start[room[start] >= self.window]
+
     def hits(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(marks of hit words, text of each text-item pair, its item)."""
+        """(marks of hit words, text of each text-item pair, its item). Work is in proportion to the
+        texts and to the pairs, however often a window is repeated on either side."""
         size = np.diff(offsets)
         text_of = np.repeat(np.arange(len(size)), size)
         room = offsets[1:][text_of] - np.arange(len(ids))
-        edge, pairs = np.zeros(len(ids) + 1, np.int64), []
-
-        def check(at, item, place, length):
-            """Keep the windows whose words are all equal; mark their words."""
-            ok = (at >= 0) & (place >= 0)
-            at, item, place = at[ok], item[ok], place[ok]
-            ok = (room[at] >= length) & (place + length <= self.first[item + 1] - self.first[item])
-            at, item, source = at[ok], item[ok], self.first[item[ok]] + place[ok]
-            for j in range(length):
-                ok = ids[at + j] == self.ids[source + j]
-                at, item, source = at[ok], item[ok], source[ok]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
-            pairs.append(np.unique(np.stack([text_of[at], item], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64))
-
-        if len(self.grams.hashes):
-            h = gram_hashes(ids, self.k, room)
-            found = self.grams.pairs(h, winnow(h, self.window - self.k + 1))
-            if len(found[0]):
-                at, item, place = found
-                for back in range(self.window - self.k + 1):
-                    inside = at - back >= offsets[text_of[at]]
-                    check(at[inside] - back, item[inside], place[inside] - back, self.window)
-        for m, grams in self.short.items():
-            h = gram_hashes(ids, m, room)
-            at, item, place = grams.pairs(h, np.flatnonzero(h != NONE))
-            check(at, item, place, m)
-        both = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
+        edge, pairs = np.zeros(len(ids) + 1, np.int64), [np.zeros((0, 2), np.int64)]
+        for windows in self.windows:
+            m = windows.length
+            at = self.candidates(ids, offsets, room) if m == self.window else np.flatnonzero((ids > 0) & (room >= m))
+            at, window = windows.find(ids, self.ids, at)
+            edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + m, minlength=len(edge))
+            met = np.unique(text_of[at] * len(windows.hashes) + window) if len(at) else at
+            text, window = met // max(1, len(windows.hashes)), met % max(1, len(windows.hashes))
+            n = windows.first[window + 1] - windows.first[window] if len(met) else met
+            entry = np.repeat(windows.first[window] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())) if len(met) else met
+            pairs.append(np.stack([np.repeat(text, n), windows.items[entry].astype(np.int64)], 1))
+        both = np.unique(np.concatenate(pairs), axis=0)
         return np.cumsum(edge[:-1]) > 0, both[:, 0], both[:, 1]
 
 
@@ -183,12 +212,12 @@ def find_contamination(
     A window is ``window`` consecutive item words, or the whole of a shorter item that has words.
     Of the hashes of k words in a row, the least of every window - k + 1 is kept on both sides, so
     that each window that both have leaves a common fingerprint; hits are extended to the windows
-    around them and compared word by word, so results are exact. Items below a window's length are
-    looked up as wholes. ``spans`` are [start, end) of hit words, counted in words; ``item_ids``
+    around them, which are looked up by hash and compared word by word, so results are exact and
+    repeats on either side cost no pairs. Items below a window's length are looked up as wholes. ``spans`` are [start, end) of hit words, counted in words; ``item_ids``
     are the items with hit windows as strings, sorted, each once (items of null id hit, unlisted).
 
     The benchmark is broadcast, ``block_words`` at a time: one pass over the documents for each
-    block and, for several blocks, one merge of the few documents with hits. Documents aren't
+    block, one after the other, and, for several blocks, one merge of the few documents with hits. Documents aren't
     shuffled otherwise. Null and empty texts have no words. A row gives a row; repeated rows, null
     ids, an empty benchmark and other columns do no harm.
     """
@@ -234,11 +263,10 @@ def find_contamination(
     second = next(indexes, None)
     if second is None:
         return scan(first, False)
-    passes = [scan(x, True) for x in (first, second)]
-    passes += [scan(x, True) for x in indexes]
-    found = passes[0].where("n_hit > 0")
-    for other in passes[1:]:
-        found = found.unionByName(other.where("n_hit > 0"))
+    # Written one after the other, so that a worker holds one index at a time.
+    passes = [materialize(scan(first, True), "leaks-all")]
+    passes += [materialize(scan(x, True).where("n_hit > 0"), "leaks") for x in itertools.chain([second], indexes)]
+    found = functools.reduce(DataFrame.unionByName, [passes[0].where("n_hit > 0"), *passes[1:]])
     found = found.dropDuplicates(["__key", "item_ids", "spans"])
     merged = found.groupBy("__key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
     # Join overlapping and touching spans in order.
@@ -262,13 +290,16 @@ def remove_contaminated(
     """The rows of ``docs`` in whose text no benchmark window occurs, all columns as they are.
 
     The same search as ``find_contamination``, but rows are kept or dropped where they are read:
-    there is no shuffle, and a further block of the benchmark is a further filter.
+    there is no shuffle. A further block of the benchmark is a further pass over what the one before
+    kept, which is written. Null and empty texts have no words and stay; repeated rows stay or go
+    alike; an empty table or benchmark drops nothing, and columns of any name are kept.
     """
     spark = docs.sparkSession
-    for index in blocks_of(benchmark, item_id_col, item_text_col, window, k, block_words):
+
+    def clean(docs, index):
         shared = spark.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
+        def run(batches):
             index = shared.value
             known = index.lookup
             for piece in slices(batches, text_col):
@@ -279,11 +310,16 @@ def remove_contaminated(
                 hit = index.hits(table[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), at)[0]
                 yield piece.filter(pa.array(sums(hit.astype(np.int64), at) == 0))
 
-        docs = arrow_rows(docs, docs.columns, run, docs.schema)
-    return docs
+        return arrow_rows(docs, docs.columns, run, docs.schema)
+
+    indexes = blocks_of(benchmark, item_id_col, item_text_col, window, k, block_words)
+    kept = clean(docs, next(indexes))
+    for index in indexes:
+        kept = clean(materialize(kept, "clean"), index)
+    return kept
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
-    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, benchmark = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = find_contamination(docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -101,16 +101,18 @@ def repeat_documents(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id")
     """The mixed corpus itself: each row of ``docs`` as often as its row of ``copies`` says.
 
     Rows are matched by id. Where ids repeat, the copies of an id are dealt to its rows in turn, so
-    that their number stays the same.
+    that their number stays the same; null ids are one id. Null and empty texts come as their copies
+    say, an empty table gives an empty one, and columns of any name are kept.
     """
+    own = lambda c: docs[f"`{c}`"]
     per_id = copies.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    joined = docs.join(per_id, docs[id_col].eqNullSafe(per_id["__id"]))
+    joined = docs.join(per_id, own(id_col).eqNullSafe(per_id["__id"]))
     single = joined.where("__rows = 1").withColumn("__times", F.col("__copies"))
-    turn = F.row_number().over(Window.partitionBy("__id").orderBy(*[docs[c].cast("string") for c in docs.columns])) - 1
+    turn = F.row_number().over(Window.partitionBy("__id").orderBy(*[own(c).cast("string") for c in docs.columns])) - 1
     several = joined.where("__rows > 1").withColumn("__times", F.floor(F.col("__copies") / F.col("__rows")) + F.when(turn < F.col("__copies") % F.col("__rows"), 1).otherwise(0))
     every = single.unionByName(several) if per_id.where("__rows > 1").limit(1).count() else single
     every = every.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return every.select(*docs.columns)
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
