@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..options import OPTIONS
 from ..registry import METRICS
 from .linalg import correlation
 from .ranges import running_totals
@@ -54,12 +55,15 @@ def calibrated_rmse(y: Column, p: Column) -> Column:
 
 def auc(df: DataFrame, y: str = "y", p: str = "p") -> float:
     """Rank-sum statistic with average ranks of ties, from counts by distinct prediction."""
-    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("x")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
-    if not totals.pos or not totals.neg:
-        return 0.5
-    won = running_totals(counts, "x", ["neg"]).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("w")).first().w
-    return float(won) / (totals.pos * totals.neg)
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("x")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg")).persist()
+    try:
+        totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+        if not totals.pos or not totals.neg:
+            return 0.5
+        won = running_totals(counts, "x", ["neg"]).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("w")).first().w
+        return float(won) / (totals.pos * totals.neg)
+    finally:
+        counts.unpersist()
 
 
 def multiclass_auc(df: DataFrame, n_classes: int, y: str = "y", probabilities: str = "p") -> float:
@@ -205,8 +209,9 @@ def jaccard_distance(a: set, b: set) -> float:
     return 1 - len(a & b) / len(a | b) if a | b else 0.0
 
 
-def normalised_importances(folds: list[dict[str, float]], least: float = 0.001) -> dict[str, float]:
-    """Mean over folds (absent is 0), to sum 1, tiny ones as 0."""
+def normalised_importances(folds: list[dict[str, float]], least: float | None = None) -> dict[str, float]:
+    """Mean over folds (absent is 0), to sum 1, those below ``least`` (an option by default) as 0."""
+    least = OPTIONS["importance_threshold"] if least is None else least
     names = dict.fromkeys(n for f in folds for n in f)
     mean = {n: sum(f.get(n, 0.0) for f in folds) / len(folds) for n in names}
     total = sum(mean.values())

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a range holds on average.
+ROWS_PER_RANGE = 50_000
 
-def running_totals(df: DataFrame, x: str, sums: list[str], ranges: int = 256) -> DataFrame:
+
+def ranges_by(df: DataFrame, x: str, part: str = "__part", ranges: int | None = None) -> DataFrame:
+    """``df`` with the range of its numeric column ``x``, by approximate quantiles; nulls are the last
+    range. There are as many ranges as rows ask for, and a row finds its own by binary search."""
+    ranges = max(8, min(10_000, df.count() // ROWS_PER_RANGE)) if ranges is None else ranges
+    cuts = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 20 * ranges).alias("p")).first().p
+    cuts = sorted({float(c) for c in cuts or []})
+    if not cuts:
+        return df.withColumn(part, F.lit(0))
+    value = df.withColumn("__x", F.col(f"`{x}`").cast("double"))
+    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__x", outputCol=part, handleInvalid="keep").transform(value)
+    return placed.withColumn(part, F.col(part).cast("int")).drop("__x")
+
+
+def running_totals(df: DataFrame, x: str, sums: list[str], ranges: int | None = None) -> DataFrame:
     """``df`` (distinct ``x``) with ``<s>_before``: the sum of s over all rows of smaller ``x``.
 
     Rows are dealt to ranges of ``x`` by approximate quantiles; a window adds up within a range, and
-    the ranges' own totals, one row each, are added up on the driver.
+    the ranges' own totals, one row each, are added up on the driver. ``df`` is read several times,
+    so callers keep it if it costs much.
     """
-    cuts = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 20 * ranges).alias("p")).first().p
-    cuts = sorted(set(cuts or []))
-    # The comparisons are sorted, so the number of cuts below x is its range.
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda b: b < F.col(x))) if cuts else F.lit(0)
-    dealt = df.withColumn("__part", part)
+    dealt = ranges_by(df, x, ranges=ranges)
     totals = {r["__part"]: r for r in dealt.groupBy("__part").agg(*[F.sum(s).alias(s) for s in sums]).collect()}
     rows, before = [], dict.fromkeys(sums, 0)
     for p in sorted(totals):

@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import ROWS_PER_RANGE, ranges_by
+
 
 def shuffled(rid: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(rid).cast("string")).cast("binary"))
 
 
 def numbered(df: DataFrame, order: list[Column], by: list[str] = (), bucket: Column | None = None) -> DataFrame:
-    """``df`` with ``__i``, its place from 1 within ``by``. Without ``by``, ``bucket`` (ascending with
-    ``order``) cuts the order into ranges, so that no task sorts everything; the default is the
-    first byte of the digest that the order starts with."""
-    if by:
-        return df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    part = F.conv(F.substring(order[0], 1, 2), 16, 10).cast("int") if bucket is None else bucket.cast("int")
-    dealt = df.withColumn("__p", part)
-    sizes = {r["__p"]: r["count"] for r in dealt.groupBy("__p").count().collect()}
-    rows, before = [], 0
-    for p in sorted(sizes):
-        rows.append((p, before))
-        before += sizes[p]
-    base = df.sparkSession.createDataFrame(rows, "__q int, __b long")
-    placed = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    return placed.join(F.broadcast(base), F.col("__p") == F.col("__q")).withColumn("__i", F.col("__r") + F.col("__b")).drop("__p", "__q", "__b", "__r")
-
-
-def ranges_of(df: DataFrame, x: Column, n: int = 256) -> Column:
-    """Range of each row by approximate quantiles of a number; null is the last."""
-    cuts = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / n) for i in range(1, n)]), 20 * n).alias("p")).first().p
-    cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda b: b < x)) if cuts else F.lit(0)
-    return F.when(x.isNull(), F.lit(n + 1)).otherwise(below)
+    """``df`` with ``__i``, its place from 1 within ``by``. ``bucket`` (ascending with ``order``) cuts
+    the order into ranges, so that no task sorts a whole class; the default is the start of the
+    digest that the order starts with, of so many digits as the rows ask for. A row for each range
+    and class is numbered in Spark and joined back."""
+    digits = max(2, min(6, (max(1, df.count() // ROWS_PER_RANGE) - 1).bit_length() // 4 + 1))
+    dealt = df.withColumn("__p", F.substring(order[0], 1, digits) if bucket is None else bucket.cast("int"))
+    sizes = dealt.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__b"))
+    placed = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order)))
+    same = F.col("__p").eqNullSafe(F.col("__q"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return placed.join(base, same).withColumn("__i", F.col("__r") + F.col("__b")).drop("__p", "__q", "__b", "__r", *[f"__by_{c}" for c in by])
 
 
 def equal_width(i: Column, n: int, k: int) -> Column:
@@ -52,23 +45,38 @@ def fold_time(df: DataFrame, k: int, time_col: str, rid: str) -> DataFrame:
     """Contiguous blocks in time, nulls last."""
     n = df.count()
     t = F.col(time_col)
-    bucket = ranges_of(df, F.unix_micros(t.cast("timestamp")))
-    return numbered(df, [t.isNull(), t, F.col(rid)], bucket=bucket).withColumn("fold", equal_width(F.col("__i"), n, k)).drop("__i")
+    dealt = ranges_by(df.withColumn("__t", F.unix_micros(t.cast("timestamp")).cast("double")), "__t", "__range")
+    return numbered(dealt, [t.isNull(), t, F.col(rid)], bucket=F.col("__range")).withColumn("fold", equal_width(F.col("__i"), n, k)).drop("__i", "__t", "__range")
 
 
 def fold_group(df: DataFrame, k: int, group_col: str, max_groups: int = 1_000_000) -> DataFrame:
-    """Whole groups to the least loaded fold, largest first. Counts by group are what the driver holds."""
+    """Whole groups to the least loaded fold, largest first.
+
+    Up to ``max_groups`` groups are dealt on the driver one by one. Of more, the largest are, and
+    the others, which are small by then, are dealt in Spark: by a digest of the group, in shares
+    that fill what is left of each fold.
+    """
     g = F.coalesce(F.col(group_col).cast("string"), F.lit("NA"))
-    counts = df.groupBy(g.alias("g")).count().orderBy(F.desc("count"), "g").limit(max_groups + 1).collect()
-    if len(counts) > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
+    sizes = df.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sizes.orderBy(F.desc("n"), "g").limit(max_groups).collect()
     load, rows = [0] * k, []
     for r in counts:
         f = load.index(min(load))
-        load[f] += r["count"]
+        load[f] += r["n"]
         rows.append((r.g, f + 1))
-    table = df.sparkSession.createDataFrame(rows, "__g string, fold int")
-    return df.join(table, g == F.col("__g")).drop("__g")
+    table = df.sparkSession.createDataFrame(rows, "__g string, __fold int")
+    joined = df.withColumn("__group", g).join(table, F.col("__group") == F.col("__g"), "left")
+    fold = F.col("__fold")
+    if len(counts) == max_groups:
+        total = df.count()
+        room = [max(0.0, total / k - x) for x in load]
+        whole, upto, place = sum(room) or 1.0, 0.0, F.conv(F.substring(F.md5(F.col("__group").cast("binary")), 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
+        other = F.lit(k)
+        for f in reversed(range(k)):
+            upto = sum(room[: f + 1]) / whole
+            other = F.when(place < F.lit(upto), F.lit(f + 1)).otherwise(other)
+        fold = F.coalesce(fold, other)
+    return joined.withColumn("fold", fold.cast("int")).drop("__group", "__g", "__fold")
 
 
 def stratified_split(df: DataFrame, y: str, ratio: list[float], rid: str, seed: int = 0, regression: bool = False) -> DataFrame:
