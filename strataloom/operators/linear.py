@@ -88,7 +88,7 @@ class RandomProjection(Projection):
 def label_group(target: Target, df: DataFrame) -> Column:
     """Quarter of a numeric label with more than ten values, else the label as text; null is "NA"."""
     c = F.col(f"`{target.column}`")
-    if target.kind == "numeric" and len(target.levels) > 10:
+    if target.kind == "numeric" and not 0 < len(target.levels) <= 10:
         cuts = sorted(set(df.agg(F.percentile(c.cast("double"), F.array(*[F.lit(i / 4) for i in range(5)])).alias("q")).first().q))
         if len(cuts) < 2:
             return F.lit("q1")

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from .. import operators  # noqa: F401  registers the transformers
 from ..functions.linalg import correlation
 from ..gene import Gene, Individual, levels
+from ..options import OPTIONS
 from ..registry import TRANSFORMERS, State, Target, Transformer
 from ..roles import finite
 
 #: Keys of a dictionary that is collected and broadcast.
 LOCAL_KEYS = 100_000
 
-OPTIONS = {"redundancy_cor_threshold": 0.95}
-
 
 def key_name(gene: Gene) -> str:
     """Genes with equal key expressions over equal columns share a dictionary."""
@@ -170,7 +169,8 @@ def fit_apply(individual: Individual, train: DataFrame, target: Target | None, o
         fit_genes(train, step, target, states)
         train = apply_genes(train, step, states)
         if prune and step:
-            bad = rejected(train, [g.output for g in step], against=None if redundancy else [], threshold=None if redundancy else 2.0)
+            known = [*individual.roles.all, *(g.output for g in kept)]
+            bad = rejected(train, [g.output for g in step], against=known if redundancy else [], threshold=None if redundancy else 2.0)
             dropped |= set(bad)
             if bad:
                 train = train.drop(*bad)

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .gene import Gene
 
 
+#: Classes that a label can have.
+MAX_LEVELS = 1000
+
+
 @dataclass
 class Target:
     """The label column as encoders see it."""
@@ -23,10 +27,16 @@ class Target:
     levels: list = field(default_factory=list)
 
     @staticmethod
-    def of(df: DataFrame, column: str, max_levels: int = 1000) -> Target:
+    def of(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> Target:
+        """Numbers of more than ``max_levels`` values have no classes; other labels of so many are an error."""
         kind = dict(df.dtypes)[column]
-        levels = [r[0] for r in df.select(column).where(F.col(f"`{column}`").isNotNull()).distinct().limit(max_levels).collect()]
-        return Target(column, "numeric" if kind in ("int", "bigint", "double", "float", "smallint", "tinyint") or kind.startswith("decimal") else "discrete", sorted(levels))
+        levels = [r[0] for r in df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct().limit(max_levels + 1).collect()]
+        numeric = kind in ("int", "bigint", "double", "float", "smallint", "tinyint") or kind.startswith("decimal")
+        if len(levels) > max_levels:
+            if not numeric:
+                raise ValueError(f"{column} has more than {max_levels} classes")
+            levels = []
+        return Target(column, "numeric" if numeric else "discrete", sorted(levels))
 
     def value(self) -> Column | None:
         """The label as a number: as it is, or 1 for the larger of two levels; null if it has no such form."""

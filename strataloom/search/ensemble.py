@@ -43,10 +43,18 @@ class Ensemble:
         return "\n".join([f"Ensemble of {len(self.members)} ({self.method}), fitness {self.fitness}", *rows])
 
 
+def blend(weights, names: list[str], task: str):
+    """The weighted sum of columns of predictions, by class for multiclass tasks."""
+    used = [(float(w), n) for w, n in zip(weights, names, strict=True) if w]
+    if task == "multiclass":
+        return F.expr(f"transform(`{used[0][1]}`, (x, k) -> {' + '.join(f'{w!r}D * `{n}`[k]' for w, n in used)})")
+    return sum((F.lit(w) * F.col(n) for w, n in used), F.lit(0.0))
+
+
 def caruana_select(table: DataFrame, names: list[str], task: str, metric, n_classes: int, rounds: int = 50, patience: int = 15, bags: int = 0, sample_ratio: float = 0.8, seed: int = 0) -> list[float]:
     """Greedy forward selection with replacement, from the best single member. ``table`` has y and a
-    column of predictions per name. Squared errors follow from one Gram matrix; other metrics score
-    each candidate blend in Spark."""
+    column of predictions per name, arrays by class for multiclass tasks. Squared errors follow from
+    one Gram matrix; other metrics score each candidate blend in Spark."""
     rng, k = Random(seed), len(names)
     square = task == "regression" and metric in ("default", "rmse")
     gram = weighted_gram(table, [F.col("y"), *[F.col(n) for n in names]]) if square else None
@@ -55,8 +63,7 @@ def caruana_select(table: DataFrame, names: list[str], task: str, metric, n_clas
         if square:
             v = np.concatenate([[1.0], -w])
             return -float(np.sqrt(max(0.0, v @ gram[2] @ v / gram[0])))
-        p = sum((F.lit(float(x)) * F.col(n) for x, n in zip(w, names, strict=True) if x), F.lit(0.0))
-        return compute_metric(table.select("y", p.alias("p")), task, metric, n_classes)
+        return compute_metric(table.select("y", blend(w, names, task).alias("p")), task, metric, n_classes)
 
     def once(pool: list[int]) -> np.ndarray:
         singles = {i: score(np.eye(k)[i]) for i in pool}
@@ -91,6 +98,26 @@ def stack_weights(table: DataFrame, names: list[str], strength: float = 1e-3, al
     return (w / w.sum()).tolist() if w.sum() > 0 else [1 / len(names)] * len(names)
 
 
+def stacking_rows(table: DataFrame, names: list[str], task: str) -> DataFrame:
+    """(y, a number per name): each class of each row is a row, as blends are the same for all classes."""
+    if task != "multiclass":
+        return table
+    entries = table.select("y", F.posexplode(names[0]).alias("k", "__first"), *[F.col(n) for n in names])
+    return entries.select((F.col("y") == F.col("k")).cast("double").alias("y"), *[F.element_at(n, F.col("k") + 1).alias(n) for n in names])
+
+
+def stack_select(table: DataFrame, names: list[str], task: str, problem, alpha: float, folds: int = 3) -> tuple[list[float], float]:
+    """(weights from all rows, an honest fitness): for the latter each fold of rows, by hash of the
+    row id, is predicted with the weights that the other folds give."""
+    fold = F.pmod(F.xxhash64(F.col(problem.rid)), F.lit(folds))
+    parts = []
+    for k in range(folds):
+        weights = stack_weights(stacking_rows(table.where(fold != k), names, task), names, alpha=alpha)
+        parts.append(table.where(fold == k).select("y", blend(weights, names, task).alias("p")))
+    fitness = compute_metric(reduce(DataFrame.unionByName, parts), task, problem.metric, problem.n_classes)
+    return stack_weights(stacking_rows(table, names, task), names, alpha=alpha), fitness
+
+
 def ensemble_islands(recipes: list[Recipe], method: str = "caruana", rounds: int = 50, bags: int = 0, sample_ratio: float = 0.8, alpha: float = 0.5, seed: int = 0) -> Ensemble:
     """Blend recipes of one problem. Their out-of-fold predictions come from common folds and are
     joined by row id. Aliases of ``equal``: uniform, average."""
@@ -108,19 +135,11 @@ def ensemble_islands(recipes: list[Recipe], method: str = "caruana", rounds: int
         joined = joined.join(t.select(problem.rid, F.col("p").alias(f"p{i}")), problem.rid)
     joined = joined.persist()
     try:
-        if first.task == "multiclass":
-            # Each class of each row is a row: blends are the same for all classes.
-            entries = joined.select("y", F.posexplode("p0").alias("k", "p0"), *[F.col(n) for n in names[1:]])
-            flat = entries.select((F.col("y") == F.col("k")).cast("double").alias("y"), "p0", *[F.element_at(n, F.col("k") + 1).alias(n) for n in names[1:]])
-            weights = stack_weights(flat, names, alpha=alpha)
-        elif method == "stack":
-            weights = stack_weights(joined, names, alpha=alpha)
+        if method == "stack":
+            weights, fitness = stack_select(joined, names, first.task, problem, alpha)
         else:
             weights = caruana_select(joined, names, first.task, problem.metric, problem.n_classes, rounds, bags=bags, sample_ratio=sample_ratio, seed=seed)
-        fitness = None
-        if first.task != "multiclass":
-            p = sum((F.lit(float(w)) * F.col(n) for w, n in zip(weights, names, strict=True)), F.lit(0.0))
-            fitness = compute_metric(joined.select("y", p.alias("p")), first.task, problem.metric, problem.n_classes)
+            fitness = compute_metric(joined.select("y", blend(weights, names, first.task).alias("p")), first.task, problem.metric, problem.n_classes)
         return Ensemble(recipes, weights, method, fitness)
     finally:
         joined.unpersist()

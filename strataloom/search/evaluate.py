@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,15 @@ from ..registry import EVALUATORS, State, Target
 from . import models
 
 
+#: What a recipe that can't be fitted raises; a lost executor or a bug is none of these.
+EXPECTED = (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
+
+
 @dataclass
 class Problem:
     """Data and rules that every evaluation shares. ``data`` has the row id, the label as a number in
-    ``__y``, and ``fold`` (cross-validation) or ``part`` (train, val, holdout)."""
+    ``__y``, and ``fold`` (cross-validation) or ``part`` (train, val, holdout). ``scored`` keeps what
+    was evaluated on these rows, by recipe and folds."""
 
     data: DataFrame
     rid: str
@@ -31,7 +38,8 @@ class Problem:
     folds: list[int] = field(default_factory=list)
     params: dict = field(default_factory=dict)
     penalty: dict = field(default_factory=dict)
-    redundancy: bool = False
+    redundancy: bool = True
+    scored: dict[tuple, Individual] = field(default_factory=dict)
 
     def parts(self, folds: list[int] | None = None) -> list[tuple[DataFrame, DataFrame]]:
         """(train, validation) of each fold, or of the split."""
@@ -75,7 +83,7 @@ def evaluate_fitness(individual: Individual, problem: Problem, best: float | Non
     for train, val in problem.parts(folds):
         try:
             results.append(evaluate_part(individual, problem, train, val))
-        except Exception as e:  # a recipe that fails on a fold is skipped there
+        except EXPECTED as e:  # a recipe that can't be fitted on a fold is skipped there
             errors.append(e)
     out = individual.copy(n_folds_ok=len(results))
     if not results:

@@ -12,14 +12,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from random import Random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import VALID, headroom_closed
 from ..gene import Gene, Individual
+from ..options import OPTIONS
 from ..plans import folds as splits
 from ..plans.pipeline import fit_apply
-from ..registry import Target
+from ..registry import MAX_LEVELS, Target
 from ..roles import infer_roles, normalise
 from . import genetics, policy as policies
 from .evaluate import Problem, evaluate_fitness, label_column, score_on
@@ -27,12 +28,15 @@ from .recipe import Recipe
 
 
 def evaluate_population(population: list[Individual], problem: Problem, cache: dict[str, float], threads: int = 2, **context) -> list[Individual]:
-    """Score whoever has no fitness; equal recipes are scored once."""
-    todo = {i.signature: i for i in population if i.fitness is None}
+    """Score whoever has no fitness; a recipe is scored once on the same rows and folds, in all generations."""
+    at = tuple(context.get("folds") or ())
+    todo = {i.signature: i for i in population if i.fitness is None and (i.signature, at) not in problem.scored}
     with ThreadPoolExecutor(max(1, threads)) as pool:
         done = dict(zip(todo, pool.map(lambda i: evaluate_fitness(i, problem, **context), todo.values()), strict=True))
-    cache.update({k: i.fitness for k, i in done.items()})
-    return [i if i.fitness is not None else done[i.signature] for i in population]
+    problem.scored.update({(k, at): i for k, i in done.items()})
+    out = [i if i.fitness is not None else problem.scored[i.signature, at] for i in population]
+    cache.update({i.signature: i.fitness for i in out})
+    return out
 
 
 def screen(population: list[Individual], problem: Problem, quick: Problem, cache: dict, share: float = 0.5, **context) -> list[Individual]:
@@ -102,11 +106,15 @@ def prepared(df: DataFrame, target_col: str, task: str, rid: str | None):
     target = Target.of(df, target_col)
     if task == "classification" and len(target.levels) != 2:
         raise ValueError(f"classification needs two classes, {target_col} has {len(target.levels)}")
+    if task == "multiclass" and len(target.levels) < 2:
+        raise ValueError(f"multiclass needs two classes at least and {MAX_LEVELS} at most in {target_col}")
     drop = {rid} - {None}
     roles = infer_roles(df.drop(*drop), target_col)
     data = normalise(df, roles)
     if rid is None:
-        rid, data = "__rid", data.withColumn("__rid", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        # Equal rows are numbered, so that ids don't repeat.
+        alike = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        rid, data = "__rid", data.withColumn("__rid", alike).withColumn("__rid", F.xxhash64("__rid", F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))))
     return target, roles, data.withColumn("__y", label_column(target, task)).where("__y IS NOT NULL"), rid
 
 
@@ -134,7 +142,7 @@ def evolve_features(
     growth_rate: float = 1.5,
     decay_rate: float = 0.7,
     crossover_type: str = "both",
-    threads: int = 2,
+    threads: int | None = None,
     metric: str | Callable = "default",
     model_all_final_genes: bool = False,
     model_all_historical_genes: bool = False,
@@ -156,6 +164,7 @@ def evolve_features(
     per_island_validation: bool = False,
     metacv_selection: str | None = None,
     rid: str | None = None,
+    viewer=None,
     **model_params,
 ) -> Recipe:
     """Search for a recipe. Equal seeds give equal searches.
@@ -164,7 +173,8 @@ def evolve_features(
     by training and validation parts with a last holdout. ``holdout_frac`` takes rows away before
     the search, to confirm the winner. Islands breed apart and exchange by ``migration``; with
     ``row_split_islands`` each trains on its own rows, and with ``metacv_selection`` (fitness,
-    headroom or tournament) island j scores on fold j alone.
+    headroom or tournament) island j scores on fold j alone. Events go to the recipe's log, and as
+    they happen to ``viewer`` (a ``Viewer``) and, with the option ``verbose``, to standard output.
     """
     if not 0 <= holdout_frac < 1:
         raise ValueError("holdout_frac has to be in [0, 1)")
@@ -172,7 +182,16 @@ def evolve_features(
         raise ValueError(f"unknown evaluation_strategy {evaluation_strategy!r}")
     rng, log = Random(seed), []
     target, roles, data, rid = prepared(df, target_col, task, rid)
-    note = lambda kind, **x: log.append({"type": kind, **x})
+    threads = int(OPTIONS["threads"]) if threads is None else threads
+
+    def note(kind: str, **x) -> None:
+        log.append({"type": kind, **x})
+        if viewer is not None:
+            viewer.send(log[-1])
+        if OPTIONS["verbose"]:
+            print(log[-1])
+
+    note("config", target=target_col, task=task, generations=generations, pop_size=pop_size, islands=islands, evaluator=evaluator)
     confirm = None
     if holdout_frac:
         parts = splits.stratified_split(data, "__y", [1 - holdout_frac, holdout_frac], rid, seed + 17, task == "regression").persist()
@@ -212,13 +231,13 @@ def evolve_features(
         if row_split_islands and islands > 1:
             mine = F.col("island") == j + 1
             if fold_ids:
-                own = replace(problem, data=data.where(mine))
+                own = replace(problem, data=data.where(mine), scored={})
             elif per_island_validation:
                 ratio = (split_ratio[0], split_ratio[1])
                 inner = splits.island_validation(data.where(mine & (F.col("part") != "holdout")).drop("part"), ratio, rid, seed)
-                own = replace(problem, data=inner)
+                own = replace(problem, data=inner, scored={})
             else:
-                own = replace(problem, data=data.where(mine | (F.col("part") != "train")))
+                own = replace(problem, data=data.where(mine | (F.col("part") != "train")), scored={})
         return own, [fold_ids[j]] if metacv_selection else None
 
     problems = [island_problem(j) for j in range(islands)]
@@ -230,14 +249,15 @@ def evolve_features(
     pools: list[list[Gene]] = [[] for _ in range(islands)]
     caches: list[dict[str, float]] = [{} for _ in range(islands)]
     bests: list[Individual | None] = [None] * islands
+    quicks: list[Problem | None] = [None] * islands
     stagnation, sizes, history, past = [0] * islands, [pop_size] * islands, [], {}
     for generation in range(generations):
         quick_round = multi_fidelity and generation < generations * mf_warmup_frac
         for j, (own, folds) in enumerate(problems):
             context = {"best": bests[j].fitness if bests[j] else None, "baseline": baselines[j].fitness, "n_samples": n, "folds": folds, "threads": threads}
             if quick_round:
-                quick = replace(own, data=splits.low_fidelity(own.data, mf_sample_frac, rid, seed))
-                populations[j] = screen(populations[j], own, quick, caches[j], **context)
+                quicks[j] = quicks[j] or replace(own, data=splits.low_fidelity(own.data, mf_sample_frac, rid, seed), scored={})
+                populations[j] = screen(populations[j], own, quicks[j], caches[j], **context)
             else:
                 populations[j] = evaluate_population(populations[j], own, caches[j], **context)
             leader = max(populations[j], key=lambda i: i.fitness if i.fitness is not None else -math.inf)
@@ -284,7 +304,7 @@ def evolve_features(
             winner = better(winner, merged)
     # States are fitted afresh on all search rows, never carried over from a fold.
     search_rows = data if fold_ids else data.where("part <> 'holdout'") if len(split_ratio) > 2 or split_col else data
-    trained, _, done, states = fit_apply(winner, search_rows, target)
+    trained, _, done, states = fit_apply(winner, search_rows, target, redundancy=problem.redundancy)
     fitted = problem.model().fit(trained, done.features, "__y", task, problem.n_classes, **model_params)
     done = replace(done, fitness=winner.fitness, raw_fitness=winner.raw_fitness, penalty=winner.penalty, importances=winner.importances, n_folds_ok=winner.n_folds_ok)
     recipe = Recipe(done, states, fitted, target, task, metric if isinstance(metric, str) else "custom", evaluator, baselines[0].fitness, history=history, log=log, islands=bests, problem=problem)

@@ -100,11 +100,17 @@ def least_active(individual: Individual, rng: Random) -> Individual:
 
 
 def sample_mask(rng: Random, roles: ColumnRoles, importances: dict[str, float] | None, temperature: float = 0.5) -> list[str]:
-    """Raw columns on with the logistic of importance above the average."""
-    n = max(1, len(roles.all))
-    if not importances:
-        return [c for c in roles.all if rng.random() < 0.7]
-    return [c for c in roles.all if rng.random() < 1 / (1 + math.exp(-max(-50.0, min(50.0, (importances.get(c, 0.0) - 1 / n) / max(temperature, 1e-6) * n))))]
+    """Raw columns on with the logistic of importance above the average, in units of ``temperature``."""
+    share = mask_shares(roles, importances, temperature)
+    return [c for c in roles.all if rng.random() < share[c]]
+
+
+def mask_shares(roles: ColumnRoles, importances: dict[str, float] | None, temperature: float = 0.5) -> dict[str, float]:
+    """The chance that each raw column is on; 0.7 where no importance is known."""
+    if not importances or not any(v > 0 for v in importances.values()):
+        return dict.fromkeys(roles.all, 0.7)
+    above = {c: (importances.get(c, 0.0) - 1 / len(roles.all)) / max(temperature, 1e-6) for c in roles.all}
+    return {c: 1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for c, x in above.items()}
 
 
 def recalculate_mask(individual: Individual, rng: Random, importances: dict, temperature: float) -> Individual:
@@ -112,19 +118,26 @@ def recalculate_mask(individual: Individual, rng: Random, importances: dict, tem
 
 
 def toggle_raw(individual: Individual, rng: Random, importances: dict, temperature: float) -> Individual:
-    """Switch a few raw columns: off rather if unimportant, on evenly."""
-    n, active = len(individual.roles.all), list(individual.active)
+    """Switch a few raw columns, each once: off rather if unimportant, on evenly. What would leave
+    fewer than two features isn't switched off."""
+    n, active, done = len(individual.roles.all), list(individual.active), set()
     if not n:
         return individual.copy()
     count, stop = 1, 1 / (1 + math.log(n)) if n > 1 else 1.0
     while count < n and rng.random() > stop:
         count += 1
     for _ in range(count):
-        off = [c for c in individual.roles.all if c not in active]
-        if active and (not off or rng.random() < 0.5):
-            active.remove(rng.choices(active, [math.exp(-min(50.0, importances.get(c, 0.0) / max(temperature, 1e-6))) + 1e-12 for c in active])[0])
-        elif off:
-            active.append(rng.choice(off))
+        off = [c for c in individual.roles.all if c not in active and c not in done]
+        on = [c for c in active if c not in done] if len(active) + len(individual.genes) > min(2, n) else []
+        if not on and not off:
+            break
+        if on and (not off or rng.random() < 0.5):
+            chosen = rng.choices(on, [math.exp(-min(50.0, importances.get(c, 0.0) / max(temperature, 1e-6))) + 1e-12 for c in on])[0]
+            active.remove(chosen)
+        else:
+            chosen = rng.choice(off)
+            active.append(chosen)
+        done.add(chosen)
     return least_active(individual.copy(active=active), rng)
 
 

@@ -83,11 +83,12 @@ class Recipe:
         kept = Recipe(self.best, small, None, self.target, self.task, self.metric, self.evaluator)
         large = {str(i): k for i, (k, s) in enumerate(self.states.items()) if k not in small}
         matrix = None if self.fitted is None else [self.fitted.matrix.means, self.fitted.matrix.codes, self.fitted.n_classes]
+        inner = getattr(getattr(self.fitted, "model", None), "model", getattr(self.fitted, "model", None))
         columns = {k: self.states[k].columns for k in large.values()}
         values = {k: self.states[k].values for k in large.values()}
-        spark.createDataFrame([(kept.to_json(), json.dumps([large, columns, values, matrix, type(self.fitted.model).__module__ + "." + type(self.fitted.model).__name__ if self.fitted else None]))], "recipe string, more string").coalesce(1).write.mode("overwrite").parquet(f"{path}/recipe")
+        spark.createDataFrame([(kept.to_json(), json.dumps([large, columns, values, matrix, f"{type(inner).__module__}.{type(inner).__name__}" if self.fitted else None, getattr(getattr(self.fitted, "model", None), "means", None)]))], "recipe string, more string").coalesce(1).write.mode("overwrite").parquet(f"{path}/recipe")
         if self.fitted is not None:
-            self.fitted.model.write().overwrite().save(f"{path}/model")
+            inner.write().overwrite().save(f"{path}/model")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Recipe:
@@ -95,12 +96,13 @@ class Recipe:
 
         row = spark.read.parquet(f"{path}/recipe").first()
         recipe = Recipe.from_json(row.recipe)
-        large, columns, values, matrix, kind = json.loads(row.more)
+        large, columns, values, matrix, kind, means = json.loads(row.more)
         for i, k in large.items():
             recipe.states[k] = State(values=values[k], columns=columns[k], table=spark.read.parquet(f"{path}/state-{i}"))
         if kind:
             module, _, name = kind.rpartition(".")
             model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+            model = model if means is None else models.Binned(model, means)
             recipe.fitted = models.Fitted(models.Matrix(matrix[0], matrix[1]), model, recipe.task, matrix[2])
         return recipe
 
@@ -112,6 +114,37 @@ class Recipe:
         """The search's log: one JSON message per event."""
         return spark.createDataFrame([(i, e.get("type", ""), json.dumps(e, default=str)) for i, e in enumerate(self.log)], "seq long, type string, message string")
 
+    def importances_table(self, spark: SparkSession) -> DataFrame:
+        """What a bar plot shows: features by falling importance."""
+        rows = sorted(((n, float(v), n in {g.output for g in self.best.genes}) for n, v in self.best.importances.items()), key=lambda r: (-r[1], r[0]))
+        return spark.createDataFrame(rows, "feature string, importance double, derived boolean")
+
+    def history_table(self, spark: SparkSession) -> DataFrame:
+        """What a line plot shows: the best fitness by generation, with the baseline."""
+        base = None if self.baseline_fitness is None else float(self.baseline_fitness)
+        return spark.createDataFrame([(i, float(f), base) for i, f in enumerate(self.history)], "generation int, best double, baseline double")
+
+    def dependencies_table(self, spark: SparkSession) -> DataFrame:
+        """What a graph shows: an edge from each input column to the column made of it."""
+        rows = [(c, g.output, g.transformer) for g in self.best.genes for c in g.inputs]
+        return spark.createDataFrame(rows, "source string, target string, transformer string")
+
+    def view(self, path: str | None = None) -> str:
+        """A page with the recipe, its importances and the search's log as JSON in it; written to ``path`` if given."""
+        import html
+
+        content = {"summary": self.summary(), "history": self.history, "importances": self.best.importances, "genes": [[g.output, g.formula] for g in self.best.genes], "log": self.log}
+        raw = json.dumps(content, default=str).replace("</", "<\\/")
+        top = sorted(self.best.importances.items(), key=lambda x: -x[1])
+        most = max([v for _, v in top], default=1.0) or 1.0
+        bars = "".join(f"<tr><td>{html.escape(n)}</td><td><div style='background:#4a7;height:1em;width:{300 * v / most:.0f}px'></div></td><td>{v:.4f}</td></tr>" for n, v in top)
+        steps = "".join(f"<tr><td>{i}</td><td>{f:.6g}</td></tr>" for i, f in enumerate(self.history))
+        page = f"<!doctype html><meta charset='utf-8'><title>Recipe</title><pre>{html.escape(self.summary())}</pre><table>{bars}</table><table>{steps}</table><script type='application/json' id='data'>{raw}</script>"
+        if path:
+            with open(path, "w", encoding="utf-8") as out:
+                out.write(page)
+        return page
+
     def summary(self) -> str:
         top = sorted(self.best.importances.items(), key=lambda x: -x[1])[:10]
         lines = [f"Recipe for {self.target.column} ({self.task}, {self.evaluator})", f"fitness {self.best.fitness} (baseline {self.baseline_fitness}, headroom closed {self.headroom_closed})", f"holdout {self.holdout_fitness}, confirmation {self.confirmation_fitness}, search gap {self.search_gap}", self.best.recipe_string]
