@@ -30,7 +30,7 @@ PARITIES = tuple(f"p{i}" for i in range(8))
 SKETCHES_APART = 126
 
 #: Members of a bucket that meet all others, in turn, before all pairs do.
-HEADS = (2, 8)
+HEADS = (2, 16)
 
 
 def shingle_hashes(text: bytes, n: int, seed: int) -> np.ndarray:
@@ -277,8 +277,8 @@ def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None
     """Distinct pairs (x, y) of ``members`` (key, v, label, size, p0, ...) that meet under a key, have
     different labels, and whose sizes and sketches allow the similarity.
 
-    With ``heads`` only pairs with so many members of each piece, which a hash of key and member
-    picks. Large buckets are cut into blocks whose pairs are pieces, as for fingerprints.
+    With ``heads`` only pairs with so many members of each piece, which a hash of the member picks:
+    a group of copies has the same ones under all of its keys, so its pairs are in proportion to it. Large buckets are cut into blocks whose pairs are pieces, as for fingerprints.
     """
     ship(members.sparkSession)
     open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
@@ -307,7 +307,7 @@ def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None
             if heads is None or n <= 2 * heads:
                 tested = ((i, group[i - at + 1 :]) for i in group)
             else:
-                order = np.argsort((v[group] ^ key[at]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.argsort(v[group].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 tested = ((i, group) for i in group[order[:heads]])
             for i, others in tested:
                 hit = others[allowed(np.full(len(others), i), others, rows)]
