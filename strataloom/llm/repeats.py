@@ -10,23 +10,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, materialize, slices
+from .common import arrow_rows, bytes_of, materialize, slices, table
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
+#: Words among which one of least hash ends a unit: a passage of 50 words has 27 in whole units of its own.
+WINDOW = 12
 
-
-#: Words among which one of least hash ends a unit: a passage of 50 words has 25 in whole units of its own.
-WINDOW = 7
+#: The rank of rows without an id, which is the last.
+LAST = (1 << 63) - 1
 
 #: Bytes of text whose words and units a worker holds at a time.
 PIECE_BYTES = 400_000
 
 
-def unit_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions where units end: after a line break, after a stop before white space, and at the end of a text."""
+def sentence_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions where sentences end: after a line break, after a stop before white space, and at the end of a text."""
     end = np.zeros(len(data) + 1, bool)
     end[offsets] = True
     end[1:] |= data == 0x0A
@@ -58,8 +59,8 @@ def least_of_windows(hashes: np.ndarray, text: np.ndarray, window: int = WINDOW)
 
 def digest_ranges(first: np.ndarray, last: np.ndarray, lines: np.ndarray, texts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Words [from, to) that stand for the units [first, last): ``least`` of them at least, the next
-    ones within the sentence or line, else the ones before; short sentences take what follows.
-    ``lines`` and ``texts`` are the bounds of all sentences and texts in words."""
+    ones within the sentence, else the ones before; short sentences take what follows. ``lines`` and
+    ``texts`` are the bounds of all sentences and texts in words."""
     line = np.searchsorted(lines, first, "right") - 1
     text = np.searchsorted(texts, first, "right") - 1
     low, high = lines[line], lines[line + 1]
@@ -69,8 +70,8 @@ def digest_ranges(first: np.ndarray, last: np.ndarray, lines: np.ndarray, texts:
 
 
 def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -> DataFrame:
-    """Units of whole texts: (row, doc_id, unit, start, end, words, high, low); places are counted in
-    characters, the digest is 128 bits of the normalised words."""
+    """Units of whole texts: (row, doc_id, unit, start, end, words, digest); places are counted in
+    characters, the digest is 64 bits of the normalised words."""
     numbered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches):
@@ -84,60 +85,59 @@ def units_of(docs: DataFrame, id_col: str, text_col: str, min_unit_words: int) -
             bounds = list(zip(begin.tolist(), finish.tolist(), strict=True))
             hashes = np.fromiter((zlib.crc32(raw[a:b]) for a, b in bounds), np.uint32, len(bounds))
             in_text = np.searchsorted(offsets, begin, "right") - 1
-            lines = np.unique(np.searchsorted(begin, np.concatenate([[0], unit_ends(data, offsets)])))
+            lines = np.unique(np.searchsorted(begin, np.concatenate([[0], sentence_ends(data, offsets)])))
             texts = np.unique(np.searchsorted(begin, offsets))
             last = np.union1d(np.flatnonzero(least_of_windows(hashes, in_text)) + 1, lines[1:])
             first = np.concatenate([[0], last[:-1]])
             low, high = digest_ranges(first, last, lines, texts, min_unit_words)
-            digests = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in zip(begin[low].tolist(), finish[high - 1].tolist(), strict=True)]
-            # A unit ends with its last word, or where its sentence, line or text ends; the next one goes on from there.
-            forced = unit_ends(data, offsets)
+            digest = np.array([xxhash.xxh3_64_intdigest(b" ".join(raw[a:b].split())) for a, b in zip(begin[low].tolist(), finish[high - 1].tolist(), strict=True)], np.uint64).view(np.int64)
+            # A unit ends with its last word, or where its sentence or text ends; the next one goes on from there.
+            forced = sentence_ends(data, offsets)
             ends, sizes, kept = finish[last - 1], last - first, np.arange(len(first))
             stop = forced[np.minimum(np.searchsorted(forced, ends), len(forced) - 1)]
             ends = np.where(np.isin(last, lines), stop, ends)
             starts = np.where(np.isin(first, texts), offsets[in_text[first]], np.concatenate([[0], ends[:-1]]))
-            digest = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             text = in_text[first]
             characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             base = characters[offsets[text]]
             unit = np.arange(len(kept)) - np.searchsorted(text, text, "left")
             take = lambda name: piece.column(name).take(pa.array(text))
             yield pa.RecordBatch.from_arrays(
-                [take("row"), take("doc_id"), pa.array(unit.astype(np.int32)), pa.array((characters[starts[kept]] - base).astype(np.int32)), pa.array((characters[ends[kept]] - base).astype(np.int32)), pa.array(sizes[kept].astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-                ["row", "doc_id", "unit", "start", "end", "words", "high", "low"],
+                [take("row"), take("doc_id"), pa.array(unit.astype(np.int32)), pa.array((characters[starts[kept]] - base).astype(np.int32)), pa.array((characters[ends[kept]] - base).astype(np.int32)), pa.array(sizes[kept].astype(np.int32)), pa.array(digest)],
+                ["row", "doc_id", "unit", "start", "end", "words", "digest"],
             )
 
-    return arrow_rows(numbered, ["row", "doc_id", "text"], run, "row long, doc_id long, unit int, start int, end int, words int, high long, low long")
+    return arrow_rows(numbered, ["row", "doc_id", "text"], run, "row long, doc_id long, unit int, start int, end int, words int, digest long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_unit_words: int = 4, min_span_words: int = 25) -> DataFrame:
     """Spans to remove: (doc_id, row, start, end, n_units, n_words, first_doc_id).
 
     Texts are cut at line breaks, ends of sentences, and after each word that has the least hash of
-    some ``WINDOW`` words, with A-Z lower-cased and white space collapsed. So inside a passage the
-    cuts are the same wherever it stands, and one of 50 words has at least 25 in whole units. A unit
-    is known by its words, or by ``min_unit_words`` around its start where it has fewer. Equal
-    units are grouped over the whole corpus, and all but the earliest, by document id and place (null ids last), are
-    repeats. Runs of repeats next to each other are spans; those of ``min_span_words`` words or
-    more are returned, so that phrases that texts share by chance stay. ``start`` and ``end`` are
-    the original places in characters, and ``first_doc_id`` is the least document in which the
-    units of the span stay.
+    some ``WINDOW`` words, with A-Z lower-cased and white space collapsed. So inside a passage the cuts are the same
+    wherever it stands, and one of 50 words has at least 27 in whole units. A unit is known by a
+    64-bit digest of its words, or of ``min_unit_words`` around its start where it has fewer. Equal
+    units are grouped over the whole corpus, and all but the earliest, by document id and place
+    (null ids last), are repeats. Runs of repeats next to each other are spans; those of
+    ``min_span_words`` words or more are returned, so that phrases that texts share by chance stay
+    (1 returns every repeated unit). ``start`` and ``end`` are the original places in characters,
+    and ``first_doc_id`` is the least document in which the units of the span stay.
 
     Digests are grouped with partial aggregation and joined back only where they are repeated; a
     hot line is one digest, whose side of the join Spark splits. Texts don't leave their tasks.
-    Null and empty texts have no units. Of repeated rows one counts as the earlier; ``row`` tells
-    them apart. Other columns are ignored.
+    Null and empty texts have no units, and an empty table gives no spans. Of repeated rows one
+    counts as the earlier; ``row`` tells them apart. Other columns, whatever their names, are ignored.
     """
     units = materialize(units_of(docs, id_col, text_col, min_unit_words), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("start").alias("at"), F.col("row").alias("row"))
-    first = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low", "first")
+    rank = F.coalesce("doc_id", F.lit(LAST))
+    first = units.groupBy("digest").agg(F.min(F.struct(rank.alias("rank"), F.col("row").alias("row"), F.col("start").alias("at"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     # Written, so that the join deals both sides anew and Spark can split a hot digest's rows.
     first = materialize(first, "units-first")
-    met = units.join(first, ["high", "low"]).where(~((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.at"))))
+    met = units.join(first, "digest").where(~((F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.at"))))
     own = Window.partitionBy("row").orderBy("unit")
     runs = met.withColumn("run", F.col("unit") - F.row_number().over(own))
     spans = runs.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.min("first.doc").alias("first_doc_id")
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.nullif(F.min("first.rank"), F.lit(LAST)).alias("first_doc_id")
     )
     return spans.where(F.col("n_words") >= min_span_words).select("doc_id", "row", "start", "end", "n_units", "n_words", "first_doc_id")
 
@@ -146,7 +146,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with repeated spans cut out of the texts, all columns kept; row order is free.
 
     The rows are numbered as they are read, so ``docs`` has to give the same rows in the same
-    partitions twice, as a table does.
+    partitions twice, as a table does. Null texts stay null; rows that repeat another lose what the
+    earlier one keeps, but stay. Columns of any name are kept, and an empty table gives an empty one.
     """
     spans = repeated_spans(docs, id_col, text_col, min_unit_words, min_span_words)
     cuts = spans.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
@@ -156,9 +157,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, c: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"])).alias("out"), c["end"].alias("at"))
     kept = F.aggregate("__cuts", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(kept)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_repeated_spans(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return repeated_spans(docs).drop("row")
