@@ -12,14 +12,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, crc32_mod, materialize, most_frequent, slices, words_of
+from .common import arrow_rows, bytes_of, crc32_mod, materialize, most_frequent, slices, table, words_of
 from .decontaminate import LOWERED
 
 #: Labelled rows of each class that the voters and the classifier are fitted on, at most.
 SAMPLE_PER_CLASS = 10_000
 
-#: Letters of a stem, and the longest word that can be a voter's.
-STEMS, LONGEST = (4, 5, 6, 7), 40
+#: Letters of a stem.
+STEMS = (4, 5, 6, 7)
+
+#: Patterns that can be voters as words can: shouting, masked and spaced letters, stretched letters, runs of marks.
+PATTERNS = {
+    "#shouts": r"(\b[A-Z]{4,}\b[^a-z]*){3,}",
+    "#masked": r"[A-Za-z][*@$#]+[A-Za-z]",
+    "#spaced": r"(\b[A-Za-z][ .-]){4,}",
+    "#stretched": "|".join(f"{c}{{4,}}" for c in "abcdefghijklmnopqrstuvwxyz"),
+    "#marks": r"[!?]{3,}",
+}
 
 #: Voters with words or stems of their own; what is left shares GROUPS more.
 VOTERS, GROUPS = 64, 16
@@ -29,6 +38,13 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] + "*" for k in STEMS if len(word) > k]
 
 
+def batch_patterns(column: pa.Array) -> np.ndarray:
+    """Which of ``PATTERNS`` each text has."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    found = [pc.match_substring_regex(column, p).to_numpy(zero_copy_only=False) for p in PATTERNS.values()]
+    return np.array(found, bool).reshape(len(PATTERNS), len(column)).T
+
+
 def batch_words(column: pa.Array):
     """(index of each word, distinct words, n+1 offsets of the texts in the words)."""
     data, offsets = bytes_of(column)
@@ -71,9 +87,9 @@ def tail(k: int, n: int, p: float) -> float:
 
 
 def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8) -> list[tuple[str, int, int]]:
-    """(word or stem*, toxic texts, other texts) of what marks toxic texts beyond chance.
+    """(word, stem* or #pattern, toxic texts, other texts) of what marks toxic texts beyond chance.
 
-    Texts with a word or stem are counted by class over the whole sample. One is taken if at least
+    Texts with a word, stem or pattern are counted by class over the whole sample. One is taken if at least
     ``precision`` of its texts are toxic, each counted as many times as its weight, and chance gives
     as much by the sample's own counts and rate, over all candidates together,
     with probability ``risk`` at most. Copies of a toxic text are no new evidence, so toxic texts
@@ -85,9 +101,9 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
         found: dict[str, list[int]] = {}
         for piece in slices(batches, "text"):
             index, distinct, at = batch_words(piece.column("text"))
-            names = [[w, *stems_of(w)] if len(w) <= LONGEST else [] for w in distinct]
-            for toxic, a, b in zip(piece.column("toxic").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
-                for name in {x for i in np.unique(index[a:b]).tolist() for x in names[i]}:
+            names = [[w, *stems_of(w)] for w in distinct]
+            for toxic, a, b, has in zip(piece.column("toxic").to_pylist(), at.tolist(), at[1:].tolist(), batch_patterns(piece.column("text")), strict=False):
+                for name in {x for i in np.unique(index[a:b]).tolist() for x in names[i]} | {p for p, h in zip(PATTERNS, has, strict=True) if h}:
                     found.setdefault(name, [0, 0])[1 - toxic] += 1
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64())], ["name", "toxic", "other"])
@@ -103,11 +119,13 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
     candidates = {r.name: (r.toxic, r.other) for r in sure if math.log(tried) + tail(r.toxic, r.toxic + r.other, rate) <= math.log(risk)}
 
     def contexts(batches):
-        """The different neighbours that candidates have in toxic texts."""
+        """The different neighbours that candidates have in toxic texts, and the different texts with patterns."""
         found: set[tuple[str, int]] = set()
         for piece in slices(batches, "text"):
             index, distinct, at = batch_words(piece.column("text"))
-            own = [[x for x in (w, *stems_of(w)) if x in candidates] if len(w) <= LONGEST else [] for w in distinct]
+            own = [[x for x in (w, *stems_of(w)) if x in candidates] for w in distinct]
+            for text, has in zip(piece.column("text").to_pylist(), batch_patterns(piece.column("text")), strict=True):
+                found.update((p, zlib.crc32((text or "").encode())) for p, h in zip(PATTERNS, has, strict=True) if h and p in candidates)
             hit = np.flatnonzero(np.array([bool(x) for x in own], bool)[index]) if len(own) else []
             edge = set(at.tolist())
             for i in hit:
@@ -151,23 +169,25 @@ class Voters:
         return Voters(voter, size, toxic, other)
 
     def of_word(self, word: str) -> int:
-        if len(word) > LONGEST:
-            word = word[:LONGEST]
         for name in (word, *stems_of(word)):
             if name in self.voter:
                 return self.voter[name]
         return -1
 
     def counts(self, column: pa.Array) -> np.ndarray:
-        """Words of each voter in each text."""
+        """Words of each voter in each text; a pattern counts as one."""
         index, distinct, at = batch_words(column)
         n, k = len(at) - 1, max(1, self.size)
-        if not len(distinct):
-            return np.zeros((n, k))
-        own = np.fromiter(map(self.of_word, distinct), np.int64, len(distinct))[index]
+        own = np.fromiter(map(self.of_word, distinct), np.int64, len(distinct))[index] if len(distinct) else np.zeros(0, np.int64)
         hit = np.flatnonzero(own >= 0)
         text = np.searchsorted(at, hit, "right") - 1
-        return np.bincount(text * k + own[hit], minlength=n * k).reshape(n, k).astype(float)
+        out = np.bincount(text * k + own[hit], minlength=n * k).reshape(n, k).astype(float)
+        if any(p in self.voter for p in PATTERNS):
+            has = batch_patterns(column)
+            for i, p in enumerate(PATTERNS):
+                if p in self.voter:
+                    out[:, self.voter[p]] += has[:, i]
+        return out
 
 
 def label_model(votes: np.ndarray, seen: tuple[np.ndarray, np.ndarray, float, float] | None = None, rounds: int = 25, mass: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
@@ -264,7 +284,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each whole text; null and empty texts get the score of
-    a text without toxic words. A row gives a row; labels, sources and other columns aren't read."""
+    a text without toxic words. A row gives a row, and an empty table none; null ids aren't held out,
+    equal texts get equal scores, and labels, sources and other columns aren't read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -288,5 +309,5 @@ def filter_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, fit_toxicity(docs, labels))

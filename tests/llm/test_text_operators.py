@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,37 @@ def test_decontamination(spark, docs, none, block_words):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_repeats_on_both_sides_cost_no_pairs(spark):
+    texts = ["the " * 200_000, "the " * 9 + "end", "a the b " * 40, "x " + "the " * 10]
+    bench = spark.createDataFrame([(1, "the " * 2000), (2, "the " * 10), (3, "a the b " * 30), (4, "b")] + [(i, "same words " * 9) for i in range(5, 300)], "item_id long, text string")
+    began = time.perf_counter()
+    found = decontaminate.find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in found} == {0: (200_000, ["1", "2"]), 1: (0, []), 2: (120, ["3", "4"]), 3: (10, ["1", "2"])}
+    assert time.perf_counter() - began < 60
+
+
+def test_random_contamination_in_blocks(spark):
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    texts, items = [make(rng.randrange(0, 60)) for _ in range(80)], [(i, make(rng.randrange(0, 25))) for i in range(12)]
+
+    def brute(text):
+        words, hit, which = text.split(), set(), set()
+        for i, b in items:
+            w = b.split()
+            n = min(10, len(w))
+            for s in range(len(w) - n + 1) if n else ():
+                for p in range(len(words) - n + 1):
+                    if words[p : p + n] == w[s : s + n]:
+                        hit, which = hit | set(range(p, p + n)), which | {str(i)}
+        return len(hit), sorted(which)
+
+    frame, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (decontaminate.BLOCK_WORDS, 60):
+        found = {r.doc_id: (r.n_hit, r.item_ids) for r in decontaminate.find_contamination(frame, bench, block_words=block_words).collect()}
+        assert found == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_winnowing_keeps_a_hash_of_every_window():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 50, 500).astype(np.uint64)
@@ -238,12 +270,12 @@ def scalar_spelling(model, units):
                 counts = [(int(model.zeros[r ^ node]), int(model.ones[r ^ node])) for r in root]
                 x = [round(10 * (math.log(b + 0.3) - math.log(a + 0.3))) / 10 for a, b in counts]
                 level = [(a + b > 0) + (a + b >= 8) for a, b in counts]
-                w = weights[(level[5] * 3 + level[6]) * 8 + bit]
+                w = weights[(level[4] * 3 + level[5]) * 8 + bit]
                 z = sum(a * b for a, b in zip(x, w, strict=False)) + w[-1]
                 p = 1 / (1 + math.exp(-z)) / 2 + refined[node, min(max(round((z + 8) * 2), 0), 32)] / 2
                 z = math.log(p / (1 - p))
                 if bit == 0:
-                    kind = min(depth, 3) * 3 + level[6]
+                    kind = min(depth, 3) * 3 + level[5]
                 q = 1 / (1 + math.exp(-(gain[kind] * z + bias[kind])))
                 total += math.log10(q if value else 1 - q)
                 slope[0][kind] += (value - q) * z
@@ -385,6 +417,37 @@ def test_fingerprint_links_are_exact(spark, tile):
         assert labels.get(p, p) == find(p)
 
 
+@pytest.mark.parametrize("shape", ["up", "one far", "zigzag", "random", "stars", "none"])
+def test_components_of_long_chains(spark, shape):
+    n, rng = 300, random.Random(1)
+    ids = list(range(n))
+    zigzag = [x for i in range(n // 2) for x in (i, n - 1 - i)]
+    rng.shuffle(ids)
+    edges = {
+        "up": [(i, i + 1) for i in range(n)],
+        "one far": [(0, n), *((i, i + 1) for i in range(1, n))],
+        "zigzag": list(zip(zigzag, zigzag[1:], strict=False)),
+        "random": list(zip(ids, ids[1:], strict=False)),
+        "stars": [*((1000, i) for i in range(200)), *((2000, i) for i in range(300, 500)), (1000, 2000), (600, 600)],
+        "none": [(7, 7), (None, 3)],
+    }[shape]
+    found = {r.v: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == dict.fromkeys({v for e in edges if e[0] is not None and e[0] != e[1] for v in e}, 0)
+
+
+def test_columns_of_any_name_and_empty_tables(spark):
+    frame = spark.createDataFrame([(1, LONG + " " + LONG + " x", 2.0, None), (2, LONG + " " + LONG + " y", 3.0, "s"), (3, None, None, "s")], ["doc.id", "the text", "a.b", "row"])
+    cut = repeats.remove_repeats(frame, "doc.id", "the text")
+    assert cut.columns == frame.columns and {r["doc.id"]: r["a.b"] for r in cut.collect()} == {1: 2.0, 2: 3.0, 3: None}
+    assert repeats.remove_repeats(frame.limit(0), "doc.id", "the text").count() == 0
+    copies = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, copies long")
+    assert sorted(r["doc.id"] for r in mixing.repeat_documents(frame, copies, "doc.id").collect()) == [1, 1, 3]
+    assert mixing.repeat_documents(frame.limit(0), copies, "doc.id").count() == 0
+    assert simhash.drop_near_duplicates(frame, id_col="doc.id", text_col="the text").columns == frame.columns
+    assert simhash.drop_near_duplicates(frame.limit(0), id_col="doc.id", text_col="the text").count() == 0
+    assert decontaminate.remove_contaminated(frame, spark.createDataFrame([(1, "iota kappa")], "item_id long, text string"), "the text").count() == 1
+
+
 def test_near_copies_leave_one(docs, none):
     kept = simhash.drop_near_duplicates(docs)
     ids = sorted((r.doc_id for r in kept.collect()), key=repr)
@@ -453,6 +516,32 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_patterns_can_be_voters(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(40))
+    rows, labels = [], []
+    for i in range(600):
+        toxic, t = i % 4 == 0, text()
+        if toxic:
+            t += rng.choice([" f**k", " go aw*y", " q@q"]) + " " + text()
+        rows.append((i, t)), labels.append((i, 0, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert "#masked" in model.voters.voter
+    scored = toxicity.score_toxicity(docs, model).where("held_out").collect()
+    assert scored and all((r.predicted == 1) == (r.doc_id % 4 == 0) for r in scored)
+
+
+def test_long_words_are_learned_whole(spark):
+    long = "x" * 60
+    rows = [(i, f"plain {'y' * 60} text {i}" if i % 3 else f"see {long}bad here {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where("held_out").collect()
+    assert all((r.predicted == 1) == (r.doc_id % 3 == 0) for r in scored)
+
+
 def test_precision_of_a_word_ignores_the_share_sampled(spark):
     # "halfbad" is in 95 % of the toxic and 15 % of the other texts, of which there are ten times as many.
     rng, rows = random.Random(8), []
