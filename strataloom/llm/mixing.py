@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, table
 
 #: Rows that one window partition of the prefix sum may hold on average.
 ROWS_PER_CELL = 100_000
@@ -116,5 +116,5 @@ def repeat_documents(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id")
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, materialize, most_frequent, slices, sums
+from .common import arrow_rows, bytes_of, materialize, most_frequent, slices, sums, table
 from .pretokens import Encoder
 
 #: Entries of the broadcast table; about 1 MB.
@@ -71,5 +71,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))

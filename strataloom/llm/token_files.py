@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, filesystem, shared_path, ship, slices, write_atomic
+from .common import arrow_rows, filesystem, shared_path, ship, slices, table, write_atomic
 from .pretokens import Encoder
 
 
@@ -194,7 +194,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     folder = shared_path(spark, "token-files")
     write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, folder)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, shared_path, ship, write_atomic
+from .common import filesystem, materialize, shared_path, ship, table, write_atomic
 
 DICTIONARY_FRAME, ZSTD_FRAME, EOL = 0x184D2A5D, 0xFD2FB528, b"\r\n"
 
@@ -299,7 +299,7 @@ def base32(hex_column: str):
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     folder = shared_path(spark, "warc")
     listing = f"{folder}/files"
     archive_pages(pages, folder).write.parquet(listing)
