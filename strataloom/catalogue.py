@@ -7,6 +7,7 @@ applied to all, with a category that the training rows lack and one that is null
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,7 +240,12 @@ def fold_sql(order: str, k: int, name: str = "fold") -> str:
 
 add("fold_random", lambda s, d: folds.fold_random(orders(s, d), 3, "rid", 3).select("rid", "fold"), fold_sql(f"{MD5}, rid", 3))
 add("fold_time", lambda s, d: folds.fold_time(orders(s, d), 4, "ts", "rid").select("rid", "fold"), fold_sql("ts NULLS LAST, rid", 4))
-add("fold_group", lambda s, d: folds.fold_group(orders(s, d), 3, "g").select("rid", "fold"))
+GREEDY = ORDERS.replace("WITH", "WITH RECURSIVE") + """, g AS (SELECT coalesce(CAST(g AS VARCHAR), 'NA') AS g, count(*) AS m FROM o GROUP BY 1), i AS (SELECT g, m, row_number() OVER (ORDER BY m DESC, g) AS i FROM g),
+s AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0 AS f UNION ALL
+  SELECT i.i, s.a + CASE WHEN s.a <= least(s.b, s.c) THEN i.m ELSE 0 END, s.b + CASE WHEN s.a > least(s.b, s.c) AND s.b <= s.c THEN i.m ELSE 0 END, s.c + CASE WHEN s.a > least(s.b, s.c) AND s.b > s.c THEN i.m ELSE 0 END,
+    CASE WHEN s.a <= least(s.b, s.c) THEN 1 WHEN s.b <= s.c THEN 2 ELSE 3 END FROM s JOIN i ON i.i = s.i + 1)
+SELECT o.rid, s.f AS fold FROM o JOIN i ON coalesce(CAST(o.g AS VARCHAR), 'NA') = i.g JOIN s ON s.i = i.i"""
+add("fold_group", lambda s, d: folds.fold_group(orders(s, d), 3, "g").select("rid", "fold"), GREEDY)
 add("island_row_split", lambda s, d: folds.island_rows(orders(s, d), 5, "rid", 3).select("rid", "island"), fold_sql(f"{MD5}, rid", 5, "island"))
 SPLIT = ORDERS + f", c AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {MD5}, rid) AS i, count(*) OVER (PARTITION BY y) AS m FROM o), u AS (SELECT *, greatest(1, round(m * {{a}})) AS a FROM c)"
 add(
@@ -250,6 +256,33 @@ add("split_holdout", lambda s, d: folds.stratified_split(orders(s, d), "y", [0.9
 add("mf_subsample", lambda s, d: folds.low_fidelity(orders(s, d), 0.5, "rid", 3).select("rid"), f"{ORDERS}, i AS (SELECT rid, row_number() OVER (ORDER BY {MD5}, rid) AS i FROM o) SELECT rid FROM i, n WHERE i <= greatest(20, ceil(0.5 * n))")
 
 
+def island_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.island_validation(folds.island_rows(orders(spark, sf_dir), 3, "rid", 3), (0.6, 0.2), "rid", 3).select("rid", "island", "part")
+
+
+add(
+    "island_validation", island_validation,
+    f"{ORDERS}, i AS (SELECT rid, row_number() OVER (ORDER BY {MD5}, rid) AS i FROM o), w AS (SELECT rid, {WIDTH.format(k=3)} AS island FROM i, n), "
+    f"p AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY {MD5}, rid) AS j, count(*) OVER (PARTITION BY island) AS m FROM w) SELECT rid, island, CASE WHEN j <= floor(m * {0.6 / (0.6 + 0.2)!r}) THEN 'train' ELSE 'val' END AS part FROM p",
+)
+
+
+def partitions(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
+    """(fold, part, rid) of the partitions that an evaluation sees; of one fold where an island has its own."""
+    from .search.evaluate import Problem
+
+    problem = Problem(folds.fold_random(orders(spark, sf_dir), 3, "rid", 3), "rid", Target("y"), "regression", folds=[1, 2, 3])
+    wanted = problem.folds if only is None else [only]
+    parts = [(f, p, df) for f, pair in zip(wanted, problem.parts(wanted), strict=True) for p, df in zip(("train", "val"), pair, strict=True)]
+    every = [df.select(F.lit(f).alias("validated"), F.lit(p).alias("part"), "rid") for f, p, df in parts]
+    return reduce(DataFrame.unionByName, every)
+
+
+PARTITIONS = fold_sql(f"{MD5}, rid", 3).replace("SELECT rid, CAST", ", z AS (SELECT rid, CAST", 1) + ") SELECT v.f AS validated, CASE WHEN z.fold = v.f THEN 'val' ELSE 'train' END AS part, z.rid FROM z, (VALUES {}) v(f)"
+add("cv_partitions", partitions, PARTITIONS.format("(1), (2), (3)"))
+add("metacv_partition", lambda s, d: partitions(s, d, 2), PARTITIONS.format("(2)"))
+
+
 # Metrics over a fixed prediction.
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).selectExpr("y", "1 / (1 + exp(-(p - 50000) / 20000)) AS p", "p AS v", "l_linenumber % 3 AS c", "q * 2000 + d * 1000 AS f").withColumn("w", F.array((0.2 + F.col("p") / 10), (0.3 + F.col("p") / 10), 0.5 - F.col("p") / 5))
@@ -363,4 +396,145 @@ def recipe_sql() -> str:
 
 add("recipe_transform", recipe_transform, recipe_sql())
 
+
+
+# Single genes, matrices and projections of features.
+def gene_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """apply_gene: fitted on training rows with the checks, applied to all rows."""
+    from .plans.pipeline import apply_gene
+
+    df, gene = base(spark, sf_dir), create_gene("groupby_mean", ["status", "p"])
+    _, (out,), _ = apply_gene(gene, df.where("l_orderkey % 5 <> 0").select("status", "p"), [df])
+    return out.select("l_orderkey", "l_linenumber", "q", F.round(gene.output, 6).alias("value"))
+
+
+add("apply_gene", gene_apart, with_base("lineitem", "g AS (SELECT status, avg(p) AS m FROM train GROUP BY status)", "SELECT b.l_orderkey, b.l_linenumber, b.q, round(g.m, 6) AS value FROM base b JOIN g USING (status)"))
+
+
+def sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature matrix: numbers out of range as training means, levels as codes, unknown ones and nulls as 0."""
+    from .search.models import Matrix
+
+    df = base(spark, sf_dir).withColumn("p", F.when(F.col("l_linenumber") == 2, F.lit(float("inf"))).when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("p")))
+    matrix = Matrix.fit(df.where("l_orderkey % 5 <> 0"), ["p", "flag"])
+    number, code = matrix.columns()
+    return df.select("l_orderkey", "l_linenumber", "q", F.round(number, 4).alias("number"), code.alias("code"))
+
+
+add(
+    "sanitise_matrix", sanitised,
+    with_base("lineitem", "f AS (SELECT *, CASE WHEN l_linenumber IN (2, 3) THEN NULL ELSE p END AS x FROM base), m AS (SELECT avg(x) AS m FROM f WHERE l_orderkey % 5 <> 0), l AS (SELECT flag, row_number() OVER (ORDER BY flag) AS k FROM (SELECT DISTINCT flag FROM train WHERE flag IS NOT NULL))",
+              "SELECT f.l_orderkey, f.l_linenumber, f.q, round(coalesce(f.x, m.m), 4) AS number, CAST(coalesce(l.k, 0) AS DOUBLE) AS code FROM f CROSS JOIN m LEFT JOIN l ON f.flag = l.flag"),
+)
+
+
+def feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that a recipe hands to a model: the active raw ones, then its genes'."""
+    from .gene import create_individual
+    from .plans.pipeline import apply_fitted, fit_apply
+    from .roles import ColumnRoles
+
+    df = base(spark, sf_dir)
+    individual = create_individual([create_gene("log", ["p"]), create_gene("add", ["p", "d"])], ColumnRoles(["p", "q", "d"], ["flag"]), ["q", "flag"])
+    _, _, done, states = fit_apply(individual, df.where("l_orderkey % 5 <> 0"), None, prune=False)
+    out = apply_fitted(done, df, states).select("l_orderkey", "l_linenumber", *done.features)
+    return out.toDF("l_orderkey", "l_linenumber", "q", "flag", "f0", "f1").withColumns({"f0": F.round("f0", 6), "f1": F.round("f1", 6)})
+
+
+add("feature_set", feature_set, with_base("lineitem", "", "SELECT l_orderkey, l_linenumber, q, flag, round(ln(1 + abs(p)), 6) AS f0, round(p + d, 6) AS f1 FROM base"))
+
+
+# Evaluation with models that have closed forms.
+class MeanModel:
+    """An evaluator that predicts the training mean; users register theirs alike."""
+
+    def fit(self, df, features, label, task, n_classes=2, **params):
+        mean = df.agg(F.avg(label).alias("m")).first().m
+        made = type("FittedMean", (), {"importances": dict.fromkeys(features, 1.0)})()
+        made.predict = lambda rows, *keep: rows.select(*keep, F.lit(mean).alias("p"))
+        return made
+
+
+def scored(spark: SparkSession, sf_dir: str, evaluator, gene: Gene, name: str):
+    """(problem, individual with its fitness) by three folds over the orders' prices."""
+    from .gene import create_individual
+    from .registry import EVALUATORS, register_evaluator
+    from .roles import ColumnRoles
+    from .search.evaluate import Problem, evaluate_fitness
+
+    if name not in EVALUATORS:
+        register_evaluator(name, evaluator)
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS rid", "o_custkey AS g", "CAST(o_totalprice AS DOUBLE) AS __y", "CAST(o_orderkey % 100 AS DOUBLE) AS a", "CAST(o_custkey % 7 AS DOUBLE) AS b")
+    problem = Problem(folds.fold_random(df, 3, "rid", 3), "rid", Target("__y"), "regression", evaluator=name, folds=[1, 2, 3], penalty={"strength": 1.5, "mode": "bic"})
+    return problem, evaluate_fitness(create_individual([gene], ColumnRoles(["a", "b"])), problem, n_samples=1000)
+
+
+def fitness_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = scored(spark, sf_dir, MeanModel(), create_gene("multiply", ["a", "b"]), "catalogue_mean")
+    return spark.createDataFrame([(round(found.raw_fitness, 4), round(found.penalty, 9), round(found.fitness, 4), found.n_folds_ok)], "raw double, penalty double, fitness double, folds int")
+
+
+FOLDED = "WITH e AS (SELECT o_orderkey AS rid, CAST(o_totalprice AS DOUBLE) AS y, CAST(o_custkey % 7 AS DOUBLE) AS b FROM orders), n AS (SELECT count(*) AS n FROM e), " + f"i AS (SELECT *, row_number() OVER (ORDER BY {MD5}, rid) AS i FROM e), z AS (SELECT rid, y, b, {WIDTH.format(k=3)} AS fold FROM i, n)"
+add(
+    "evaluate_fitness", fitness_row,
+    f"{FOLDED}, m AS (SELECT v.f, avg(y) AS m FROM z JOIN (VALUES (1), (2), (3)) v(f) ON z.fold <> v.f GROUP BY v.f), r AS (SELECT avg(s) AS raw FROM (SELECT -sqrt(avg((y - m) * (y - m))) AS s FROM z JOIN m ON z.fold = m.f GROUP BY fold)), "
+    "p AS (SELECT exp(3 * ln(1 + 1.5 * ln(1000) / 2000)) - 1 AS p) SELECT round(raw, 4) AS raw, round(p, 9) AS penalty, round(raw * (1 + p), 4) AS fitness, 3 AS folds FROM r, p",
+)
+
+
+def holdout_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_on: a recipe and a model fitted on folds 1 and 2, scored on fold 3, and the gap to it."""
+    from .plans.pipeline import fit_apply
+    from .search.evaluate import score_on
+    from .search.evolve import search_gap
+
+    problem, found = scored(spark, sf_dir, MeanModel(), create_gene("multiply", ["a", "b"]), "catalogue_mean")
+    train = problem.data.where("fold <> 3")
+    done, _, individual, states = fit_apply(found, train, problem.target)
+    value = score_on(individual, problem, problem.model().fit(done, individual.features, "__y", "regression"), states, problem.data.where("fold = 3"))
+    return spark.createDataFrame([(round(value, 4), round(search_gap(value, found.raw_fitness), 4))], "value double, gap double")
+
+
+add(
+    "evaluate_holdout", holdout_row,
+    f"{FOLDED}, m AS (SELECT v.f, avg(y) AS m FROM z JOIN (VALUES (1), (2), (3)) v(f) ON z.fold <> v.f GROUP BY v.f), s AS (SELECT fold, -sqrt(avg((y - m) * (y - m))) AS s FROM z JOIN m ON z.fold = m.f GROUP BY fold) "
+    "SELECT round(max(s) FILTER (fold = 3), 4) AS value, round(max(s) FILTER (fold = 3) - avg(s), 4) AS gap FROM s",
+)
+
+
+def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear evaluator without shrinkage on one feature is the line of least squares."""
+    from .registry import EVALUATORS
+
+    df = base(spark, sf_dir)
+    fitted = EVALUATORS["lm"].fit(df.where("l_orderkey % 5 <> 0"), ["q"], "p", "regression", 2, **{"lambda": 0.0})
+    return fitted.predict(df, F.col("l_orderkey"), F.col("l_linenumber"), F.col("q")).withColumn("p", F.round("p", 3))
+
+
+add("evaluator_lm", least_squares, with_base("lineitem", "m AS (SELECT regr_slope(p, q) AS b, regr_intercept(p, q) AS a FROM train)", "SELECT l_orderkey, l_linenumber, q, round(m.a + m.b * q, 3) AS p FROM base CROSS JOIN m"))
+
+
+def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search.ensemble import blend
+
+    return base(spark, sf_dir).select("l_orderkey", "l_linenumber", "q", F.round(blend([0.25, 0.0, 0.75], ["p", "d", "q"], "regression"), 4).alias("value"))
+
+
+add("weighted_blend", blended, with_base("lineitem", "", "SELECT l_orderkey, l_linenumber, q, round(0.25 * p + 0.75 * q, 4) AS value FROM base"))
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacking weights of two members without shrinkage: least squares without a constant, where both are positive."""
+    from .search.ensemble import stack_weights
+
+    table = base(spark, sf_dir).selectExpr("p + q * 1500 AS y", "q * 1500 AS a", "p * 0.9 + 1000 AS b")
+    return spark.createDataFrame([tuple(round(w, 5) for w in stack_weights(table, ["a", "b"], strength=0.0, rounds=20_000))], "a double, b double")
+
+
+add(
+    "stack_select", stacked,
+    with_base("lineitem", "x AS (SELECT p + q * 1500 AS y, q * 1500 AS a, p * 0.9 + 1000 AS b FROM base), g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS \"by\" FROM x), "
+              "w AS (SELECT (ay * bb - \"by\" * ab) / (aa * bb - ab * ab) AS a, (\"by\" * aa - ay * ab) / (aa * bb - ab * ab) AS b FROM g)", "SELECT round(a / (a + b), 5) AS a, round(b / (a + b), 5) AS b FROM w"),
+)
+
 from . import catalogue_search  # noqa: E402,F401  the search's queries

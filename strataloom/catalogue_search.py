@@ -24,7 +24,10 @@ add("topology_complete", edges(topology.complete(6)), "SELECT a.i AS src, b.i AS
 add("topology_hypercube", edges(topology.hypercube(8)), "SELECT i + 1 AS src, xor(i, b) + 1 AS dst FROM range(8) r(i), (VALUES (1::BIGINT), (2), (4)) v(b)")
 add("topology_grid", edges(topology.grid(9)), "SELECT a.i + 1 AS src, b.i + 1 AS dst FROM range(9) a(i), range(9) b(i) WHERE abs(a.i // 3 - b.i // 3) + abs(a.i % 3 - b.i % 3) = 1")
 add("topology_torus", edges(topology.torus(9)), "SELECT a.i + 1 AS src, b.i + 1 AS dst FROM range(9) a(i), range(9) b(i) WHERE a.i <> b.i AND (a.i // 3 = b.i // 3 OR a.i % 3 = b.i % 3)")
-add("topology_tiered", edges(topology.tiered(10)))
+TIERS = """WITH w AS (SELECT t, greatest(1, CAST(round_even(pow(0.5, t) / 1.75 * 10, 0) AS BIGINT)) AS s FROM range(3) r(t)), z AS (SELECT t, s + CASE WHEN t = 0 THEN greatest(0, 10 - (SELECT sum(s) FROM w)) ELSE 0 END AS s FROM w),
+p AS (SELECT t, s, coalesce(sum(s) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z), i AS (SELECT t, s, before, before + k + 1 AS i, k FROM p, range(10) r(k) WHERE k < s)
+SELECT CAST(a.i AS BIGINT) AS src, CAST(b.i AS BIGINT) AS dst FROM i a JOIN i b ON (a.t = b.t AND a.i <> b.i) OR (b.t = a.t + 1 AND b.k = least(b.s - 1, a.k // 2))"""
+add("topology_tiered", edges(topology.tiered(10)), TIERS)
 add("topology_custom", edges(topology.custom([[0, 1, 0], [0, 0, 1], [1, 1, 0]])), "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT), (2, 3), (3, 1), (3, 2)) v(src, dst)")
 
 
@@ -135,3 +138,57 @@ add("predict_model", predict_model)
 add("multiclass_proba", multiclass_proba)
 for _method in ("equal", "caruana", "stack"):
     add(f"ensemble_{_method}", ensembled(_method))
+
+
+# What the search works out in numbers and names, a row each.
+def constant(rows: list[tuple], schema: str):
+    return lambda s, d: s.createDataFrame(rows, schema)
+
+
+def rates_rows():
+    from .search.evolve import adaptive_rates
+
+    return [(k, *(round(x, 9) for x in adaptive_rates(k, 3))) for k in range(6)]
+
+
+def sizes_rows():
+    from .search.evolve import next_size
+
+    return [(n, next_size(n, 10, True), next_size(n, 10, False)) for n in (10, 13, 25, 40, 50)]
+
+
+WIDE = ColumnRoles(["a", "b", "c"], ["d"])
+IMPORTANT = {"a": 0.5, "b": 0.3, "d": 0.2}
+add("adaptive_rates", lambda s, d: constant(rates_rows(), "stagnation long, rate double, temperature double")(s, d), "SELECT k AS stagnation, round(0.3 + 0.4 * least(1, k / 3), 9) AS rate, round(0.1 + 0.9 * least(1, k / 3), 9) AS temperature FROM range(6) r(k)")
+add("dynamic_population", lambda s, d: constant(sizes_rows(), "size long, improved long, stalled long")(s, d), "SELECT n AS size, least(50, greatest(10, CAST(round_even(n * 0.7, 0) AS BIGINT))) AS improved, least(50, greatest(n + 1, CAST(round_even(n * 1.5, 0) AS BIGINT))) AS stalled FROM (VALUES (10::BIGINT), (13), (25), (40), (50)) v(n)")
+add(
+    "active_mask_chances", lambda s, d: constant([(c, round(p, 9)) for c, p in genetics.mask_shares(WIDE, IMPORTANT, 0.5).items()], "name string, chance double")(s, d),
+    "SELECT name, round(1 / (1 + exp(-(v - 0.25) / 0.5)), 9) AS chance FROM (VALUES ('a', 0.5::DOUBLE), ('b', 0.3), ('c', 0.0), ('d', 0.2)) t(name, v)",
+)
+
+
+def ordered_genes():
+    from .gene import topological_order
+
+    a = create_gene("log", ["a"])
+    b = create_gene("add", [a.output, "b"])
+    c = create_gene("multiply", [b.output, a.output])
+    lost = create_gene("log", ["nowhere"])
+    return [(k, g.transformer) for k, g in enumerate(topological_order([c, lost, b, a], ["a", "b"]))]
+
+
+add("topological_order", lambda s, d: constant(ordered_genes(), "place long, transformer string")(s, d), "SELECT * FROM (VALUES (0::BIGINT, 'log'), (1, 'add'), (2, 'multiply')) v(place, transformer)")
+
+
+def names_rows():
+    one, two = create_gene("add", ["a", "b", "c", "d", "e"]), create_gene("power", ["a"], p=3)
+    same = create_gene("pca", ["a", "b"], comp_idx=1).state_key == create_gene("pca", ["a", "b"], comp_idx=2).state_key
+    apart = create_gene("one_hot_encode", ["a"], comp_idx=1).state_key == create_gene("one_hot_encode", ["a"], comp_idx=2).state_key
+    recipe = create_individual([create_gene("log", ["a"])], ColumnRoles(["a", "b"]), ["b"]).recipe_string
+    return [("formula", one.formula), ("parameters", two.formula), ("state shared", str(same).lower()), ("state apart", str(not apart).lower()), ("recipe", recipe)]
+
+
+add(
+    "gene_names", lambda s, d: constant(names_rows(), "kind string, value string")(s, d),
+    "SELECT 'formula' AS kind, 'add(' || array_to_string(['a', 'b', 'c'], ', ') || ', +' || (5 - 3) || ' more)' AS value UNION ALL SELECT 'parameters', 'power(a, p=3)' UNION ALL SELECT 'state shared', 'true' UNION ALL SELECT 'state apart', 'true' UNION ALL SELECT 'recipe', '[log(a)] (active: 1/2 raw, 1 genes)'",
+)

@@ -23,6 +23,17 @@ def weighted_gram(df: DataFrame, columns: list[Column], weight: Column | None =
     return n, mean, gram
 
 
+def centred_gram(df: DataFrame, columns: list[Column]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(rows, means, sum of (x - m)(x - m)') of the columns; a first scan finds the means, as raw
+    products lose all digits where a mean is large beside the deviation."""
+    p = len(columns)
+    named = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    r = named.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]).first()
+    mean = np.array([float(r[f"m{i}"] or 0) for i in range(p)])
+    n, rest, gram = weighted_gram(named, [F.col(f"x{i}") - F.lit(float(m)) for i, m in enumerate(mean)])
+    return n, mean + rest, gram - n * np.outer(rest, rest)
+
+
 def directions(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, eigenvectors as columns) of the ``k`` largest; the entry of largest size of each is positive."""
     values, vectors = np.linalg.eigh(gram)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.linalg import components_of, directions, linear, weighted_gram
+from ..functions.linalg import centred_gram, components_of, directions, linear, weighted_gram
 from ..registry import State, Target, Transformer, number, register_transformer, text
 from ..roles import finite
 
@@ -42,8 +42,8 @@ class Pca(Projection):
     name = "pca"
 
     def fit(self, df, gene, target):
-        n, mean, gram = weighted_gram(df, zero_filled(gene))
-        cov = (gram - n * np.outer(mean, mean)) / max(n - 1, 1)
+        n, mean, gram = centred_gram(df, zero_filled(gene))
+        cov = gram / max(n - 1, 1)
         sd = np.sqrt(np.maximum(np.diag(cov), 0))
         if n < 2 or (sd < 1e-12 * np.maximum(1, np.abs(mean))).any():
             return State(valid=False)

@@ -52,11 +52,27 @@ def better(a: Individual | None, b: Individual) -> Individual:
     return b if a is None or (b.fitness or -math.inf) > (a.fitness if a.fitness is not None else -math.inf) else a
 
 
+def adaptive_rates(stagnation: int, patience: int) -> tuple[float, float]:
+    """(mutation rate, temperature), which rise while nothing improves."""
+    s = min(1.0, stagnation / max(1, patience))
+    return 0.3 + 0.4 * s, 0.1 + 0.9 * s
+
+
+def next_size(size: int, start: int, improved: bool, growth_rate: float = 1.5, decay_rate: float = 0.7) -> int:
+    """Individuals of the next generation: more while nothing improves, fewer when something does."""
+    wanted = max(start, round(size * decay_rate)) if improved else max(size + 1, round(size * growth_rate))
+    return min(5 * start, wanted)
+
+
+def search_gap(checked: float | None, found: float | None) -> float | None:
+    """What a fitness loses on rows that the search didn't see."""
+    return None if checked is None or found is None else checked - found
+
+
 def breed(population: list[Individual], size: int, rng: Random, allowed: list[str], cache: dict, best: float | None, stagnation: int, patience: int, crossover_type: str, migrated: list[Gene], options: dict, expansion: int = 0) -> list[Individual]:
     """The next generation: the best one, then children by tournament."""
     ranked = sorted(population, key=lambda i: -(i.fitness if i.fitness is not None else -math.inf))
-    s = min(1.0, stagnation / max(1, patience))
-    rate, temperature = 0.3 + 0.4 * s, 0.1 + 0.9 * s
+    rate, temperature = adaptive_rates(stagnation, patience)
     survivors = ranked[: max(2, math.ceil(len(ranked) / 2))]
     importances: dict[str, float] = {}
     for i in survivors:
@@ -266,8 +282,7 @@ def evolve_features(
             past[leader.signature] = leader
             stagnation[j] = 0 if improved else stagnation[j] + 1
             if dynamic_population:
-                grown = max(sizes[j] + 1, round(sizes[j] * growth_rate)) if not improved else max(pop_size, round(sizes[j] * decay_rate))
-                sizes[j] = min(5 * pop_size, grown)
+                sizes[j] = next_size(sizes[j], pop_size, improved, growth_rate, decay_rate)
             note("island_evaluated", generation=generation, island=j + 1, best=bests[j].fitness, size=len(populations[j]))
         history.append(max(b.fitness for b in bests))
         note("generation", generation=generation, best=history[-1])
@@ -314,6 +329,6 @@ def evolve_features(
     if confirm is not None:
         recipe.confirmation_fitness = score_on(done, problem, fitted, states, confirm)
     checked = recipe.confirmation_fitness if recipe.confirmation_fitness is not None else recipe.holdout_fitness
-    recipe.search_gap = None if checked is None or winner.raw_fitness is None else checked - winner.raw_fitness
+    recipe.search_gap = search_gap(checked, winner.raw_fitness)
     note("complete", fitness=winner.fitness, formula=done.recipe_string)
     return recipe

@@ -3,6 +3,7 @@
 import math
 from random import Random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -108,3 +109,98 @@ def test_user_transformer(spark, mixed):
 def test_unknown_transformer_lists_the_known():
     with pytest.raises(ValueError, match="groupby_mean"):
         create_gene("nothing", "x")
+
+
+# Projections against explicit matrices in numpy.
+@pytest.fixture(scope="module")
+def grouped(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    f, g = rng.choice(list("abc"), n, p=[0.5, 0.3, 0.2]), rng.choice(list("uv"), n)
+    x = rng.normal(0, 1, n) + (f == "a") * 1.5
+    y = 0.5 * x + rng.normal(0, 1, n) + (g == "u")
+    z = rng.normal(5, 2, n)
+    label = np.where(x + y > 1, "hi", np.where(z > 5, "mid", "lo"))
+    rows = [(int(i), str(a), str(b), float(c), float(d), float(e), str(k)) for i, (a, b, c, d, e, k) in enumerate(zip(f, g, x, y, z, label, strict=True))]
+    return spark.createDataFrame(rows, "i long, f string, g string, x double, y double, z double, label string"), f, g, np.column_stack([x, y, z]), label
+
+
+def derived(df, name, inputs, k, target=None):
+    gene, states = create_gene(name, inputs, comp_idx=k), {}
+    fit_genes(df, [gene], Target.of(df, target) if target else None, states)
+    return np.array([r[gene.output] for r in apply_genes(df, [gene], states).orderBy("i").collect()])
+
+
+def indicators(*columns):
+    return np.column_stack([(c == v).astype(float) for c in columns for v in sorted(set(c), key=lambda v, c=c: (-(c == v).sum(), v))])
+
+
+def scores_like(found, expected):
+    """Equal up to a sign; zero means."""
+    assert abs(np.corrcoef(found, expected)[0, 1]) > 1 - 1e-9
+    assert np.std(found) == pytest.approx(np.std(expected), rel=1e-6)
+
+
+def by_group(m, groups):
+    return np.array([m[groups == g].mean(axis=0) for g in groups])
+
+
+@pytest.mark.parametrize("k", [1, 2])
+@pytest.mark.parametrize("supervised", [False, True])
+def test_mca_against_numpy(grouped, k, supervised):
+    df, f, g, _, label = grouped
+    m = indicators(f, g)
+    share = m.mean(axis=0)
+    scaled = (m - share) / np.sqrt(share * len(m))
+    base = by_group(scaled, label) if supervised else scaled
+    v = np.linalg.svd(base, full_matrices=False)[2][k - 1]
+    found = derived(df, "supervised_mca" if supervised else "mca", ["f", "g"], k, "label" if supervised else None)
+    scores_like(found, scaled @ v / np.sqrt(2))
+
+
+@pytest.mark.parametrize("k", [1, 2])
+@pytest.mark.parametrize("supervised", [False, True])
+def test_famd_against_numpy(grouped, k, supervised):
+    df, f, _, x, label = grouped
+    m = indicators(f)
+    share = m.mean(axis=0)
+    whole = np.column_stack([(x[:, :2] - x[:, :2].mean(axis=0)) / x[:, :2].std(axis=0, ddof=1), (m - share) / np.sqrt(share)])
+    base = by_group(whole, label) if supervised else whole
+    v = np.linalg.svd(base, full_matrices=False)[2][k - 1]
+    found = derived(df, "supervised_famd" if supervised else "famd", ["x", "y", "f"], k, "label" if supervised else None)
+    scores_like(found, whole @ v)
+
+
+@pytest.mark.parametrize("name, inputs, target", [("between_group_pca", ["f", "x", "y", "z"], None), ("supervised_bgpca", ["x", "y", "z"], "label")])
+def test_group_projections_against_numpy(grouped, name, inputs, target):
+    df, f, _, x, label = grouped
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    v = np.linalg.svd(by_group(z, label if target else f), full_matrices=False)[2][0]
+    scores_like(derived(df, name, inputs, 1, target), z @ v)
+
+
+def test_gap_encode_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    words = ["apple pie", "apple tart", "banana split", "banana bread", "cherry pie", ""]
+    picked = rng.choice(words, 300)
+    df = spark.createDataFrame([(int(i), str(w) if i % 17 else None) for i, w in enumerate(picked)], "i long, w string")
+    texts = [str(w) if i % 17 else "" for i, w in enumerate(picked)]
+    grams = lambda t: [f"^{t}$"[j : j + 3] for j in range(max(len(t), 1))] if t else []
+    counts = {}
+    for t in texts:
+        for q in set(grams(t)):
+            counts[q] = counts.get(q, 0) + grams(t).count(q)
+    top = sorted(counts, key=lambda q: (-counts[q], q))[:30]
+    m = np.array([[grams(t).count(q) for q in top] for t in texts], float)
+    v = np.linalg.svd(m - m.mean(axis=0), full_matrices=False)[2][0]
+    scores_like(derived(df, "gap_encode", ["w"], 1), (m - m.mean(axis=0)) @ v)
+
+
+def test_pca_keeps_digits_of_large_means(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(0, 1, 300)
+    x = np.column_stack([1e9 + a, 2e9 + 0.5 * a + rng.normal(0, 1, 300)])
+    df = spark.createDataFrame([(int(i), float(p), float(q)) for i, (p, q) in enumerate(x)], "i long, p double, q double")
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    found = derived(df, "pca", ["p", "q"], 1)
+    assert abs(np.corrcoef(found, z @ np.linalg.svd(z)[2][0])[0, 1]) > 1 - 1e-6
