@@ -3,12 +3,14 @@
 import math
 from random import Random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import metrics
-from strataloom.gene import Gene, create_gene, topological_order
+from strataloom.gene import Gene, create_gene, create_individual, topological_order
 from strataloom.plans import folds
+from strataloom.registry import EVALUATORS, Target
 from strataloom.roles import ColumnRoles, infer_roles
 from strataloom.search import genetics, policy, topology
 from strataloom.search.ensemble import ensemble_islands, stack_weights
@@ -146,3 +148,181 @@ def test_islands_with_split_and_classes(spark, frame):
 def test_stack_prefers_the_better_member(spark):
     df = spark.createDataFrame([(float(i), float(i) + 0.1, float(-i)) for i in range(50)], "y double, p0 double, p1 double")
     assert stack_weights(df, ["p0", "p1"])[0] > 0.99
+
+
+def test_toggles_are_made_once_and_leave_two_features():
+    roles = ColumnRoles([f"c{i}" for i in range(8)])
+    for seed in range(200):
+        before = create_individual([], roles, ["c0", "c1", "c2"])
+        after = genetics.toggle_raw(before, Random(seed), {"c0": 0.9}, 0.3)
+        assert len(after.active) >= 2 and len(set(after.active)) == len(after.active)
+        assert set(before.active) ^ set(after.active)  # what is switched stays so
+
+
+def test_mask_chances_follow_importance():
+    shares = genetics.mask_shares(ColumnRoles(["a", "b", "c", "d"]), {"a": 1.0}, 0.5)
+    assert shares["a"] == pytest.approx(1 / (1 + math.exp(-1.5))) and shares["b"] == pytest.approx(1 / (1 + math.exp(0.5)))
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    rng = Random(8)
+    rows = []
+    for i in range(360):
+        a, b, c = rng.gauss(0, 1), rng.gauss(0, 1), rng.choice("xyz")
+        rows.append((i, a, b, c, "p" if a > 0.5 else "q" if b > 0 else "r", 2 * a - b + rng.gauss(0, 0.1), i % 3 + 1))
+    return spark.createDataFrame(rows, "rid long, a double, b double, c string, k string, y double, fold int").persist()
+
+
+def problem_of(df, task, evaluator="lm", **more):
+    from strataloom.search.evaluate import Problem, label_column
+
+    target = Target.of(df, "y" if task == "regression" else "k")
+    return Problem(df.withColumn("__y", label_column(target, task)), "rid", target, task, evaluator=evaluator, n_classes=1 if task == "regression" else 3, folds=[1, 2, 3], **more)
+
+
+def test_a_recipe_is_scored_once(three, monkeypatch):
+    from strataloom.search import evolve
+
+    problem, calls = problem_of(three, "regression"), []
+    inner = evolve.evaluate_fitness
+    monkeypatch.setattr(evolve, "evaluate_fitness", lambda i, p, **c: calls.append(i.signature) or inner(i, p, **c))
+    individual = create_individual([create_gene("add", ["a", "b"])], ColumnRoles(["a", "b"], ["c"]))
+    first = evolve.evaluate_population([individual, individual.copy()], problem, {}, threads=1)
+    again = evolve.evaluate_population([individual.copy()], problem, {}, threads=1)
+    assert len(calls) == 1 and again[0].fitness == first[0].fitness == first[1].fitness
+
+
+def test_redundant_genes_are_dropped_in_evaluation(three):
+    from strataloom.search.evaluate import evaluate_part
+
+    problem = problem_of(three, "regression")
+    (train, val), *_ = problem.parts([1])
+    twice = create_individual([create_gene("add", ["a", "a"]), create_gene("multiply", ["a", "b"])], ColumnRoles(["a", "b"], ["c"]))
+    assert [g.transformer for g in evaluate_part(twice, problem, train, val).individual.genes] == ["multiply"]
+
+
+def test_errors_that_arent_the_recipes_are_raised(three):
+    from strataloom.search.evaluate import evaluate_fitness
+
+    class Broken:
+        def fit(self, *a, **b):
+            raise RuntimeError("lost")
+
+    EVALUATORS["broken"] = Broken()
+    try:
+        with pytest.raises(RuntimeError):
+            evaluate_fitness(create_individual([], ColumnRoles(["a", "b"])), problem_of(three, "regression", "broken"))
+    finally:
+        del EVALUATORS["broken"]
+
+
+def test_strength_is_chosen_by_folds(spark):
+    from strataloom.search.models import chosen_strength, fold_grams
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (300, 12))
+    clear, noise = x[:, 0] * 3 + rng.normal(0, 0.1, 300), rng.normal(0, 1, 300)
+    found = []
+    for y in (clear, noise):
+        from pyspark.ml.linalg import Vectors
+
+        df = spark.createDataFrame([(Vectors.dense(r.tolist()), float(v)) for r, v in zip(x, y, strict=True)], ["__features", "label"])
+        rows, grams = fold_grams(df, 2, 5)
+        assert rows.sum() == 300
+        whole = np.column_stack([np.ones(300), x, y])
+        assert np.allclose(grams.sum(axis=0), whole.T @ whole)
+        found.append(chosen_strength(grams, 1, 0.5))
+    r = [max(abs(np.corrcoef(x[:, j], y)[0, 1]) for j in range(12)) / 0.5 for y in (clear, noise)]
+    assert found[0] < 0.05 * r[0] and found[1] > 0.3 * r[1]
+
+
+@pytest.mark.parametrize("evaluator, task", [("lightgbm", "multiclass"), ("lightgbm", "regression"), ("keras3", "multiclass"), ("keras3", "regression"), ("lm", "multiclass")])
+def test_every_model_has_importances(three, evaluator, task):
+    params = {"nrounds": 5 if evaluator == "lightgbm" else 30}
+    problem = problem_of(three, task, evaluator)
+    fitted = EVALUATORS[evaluator].fit(problem.data, ["a", "b"], "__y", task, problem.n_classes, **params)
+    assert set(fitted.importances) == {"a", "b"} and all(v > 0 for v in fitted.importances.values())
+    assert fitted.predict(problem.data, "rid").where("p IS NULL").count() == 0
+
+
+def test_boosting_stops_early(spark):
+    rng = Random(1)
+    df = spark.createDataFrame([(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(400)], "a double, y double")
+    assert EVALUATORS["lightgbm"].fit(df, ["a"], "y", "regression").model.getNumTrees < 50
+
+
+def test_multiclass_ensembles_have_a_fitness(spark, three):
+    from strataloom.search import ensemble
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        y = int(rng.integers(0, 3))
+        good, bad = np.full(3, 0.1), rng.dirichlet(np.ones(3))
+        good[y] = 0.8
+        rows.append((i, float(y), good.tolist(), bad.tolist()))
+    table = spark.createDataFrame(rows, "rid long, y double, p0 array<double>, p1 array<double>")
+    weights = ensemble.caruana_select(table, ["p0", "p1"], "multiclass", "default", 3, rounds=4)
+    assert weights == [1.0, 0.0]
+    stacked, honest = ensemble.stack_select(table, ["p0", "p1"], "multiclass", problem_of(three, "multiclass"), 0.5)
+    assert stacked[0] > 0.9 and 0.7 < honest <= 0.81
+
+
+def test_equal_rows_have_ids_of_their_own(spark):
+    from strataloom.search.evolve import prepared
+
+    df = spark.createDataFrame([(1.0, 2.0)] * 5 + [(2.0, 3.0)] * 3, "a double, y double")
+    _, _, data, rid = prepared(df, "y", "regression", None)
+    assert data.select(rid).distinct().count() == 8
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.range(1200).selectExpr("cast(id as string) AS k", "id AS n")
+    with pytest.raises(ValueError):
+        Target.of(df, "k")
+    assert Target.of(df, "n").levels == []
+
+
+def test_calibrated_mae_against_all_lines_through_two_points(spark):
+    rng = np.random.default_rng(6)
+    p = rng.normal(0, 1, 40)
+    y = 2 * p + 1 + rng.standard_t(2, 40)
+    best = min(np.abs(y - (y[i] + (p - p[i]) * (y[j] - y[i]) / (p[j] - p[i]))).mean() for i in range(40) for j in range(i))
+    found = metrics.calibrated_mae(spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p, strict=True)], "y double, p double"))
+    assert best - 1e-9 <= found <= best * 1.002
+
+
+def test_ts_refinement_against_a_fine_grid(spark):
+    rng = np.random.default_rng(7)
+    z = rng.normal(0, 2, 300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-z / 2))).astype(float)
+    p = 1 / (1 + np.exp(-z))
+    one, zero = y.sum(), (1 - y).sum()
+    smooth = np.where(y == 1, (one + 1) / (one + 2), 1 / (zero + 2))
+    loss = lambda t, s: -np.mean(s * np.log(1 / (1 + np.exp(-z / t))) + (1 - s) * np.log(1 - 1 / (1 + np.exp(-z / t))))
+    best = min(np.geomspace(0.1, 10, 4000), key=lambda t: loss(t, smooth))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p, strict=True)], "y double, p double")
+    assert metrics.ts_refinement(df) == pytest.approx(loss(best, y), abs=1e-5)
+
+
+def test_options_and_viewer(three):
+    import json as reader
+    from urllib.request import urlopen
+
+    from strataloom.options import OPTIONS, options
+    from strataloom.search.viewer import Viewer
+
+    with options(importance_threshold=0.3):
+        assert metrics.normalised_importances([{"a": 0.8, "b": 0.2}])["b"] == 0
+    assert OPTIONS["importance_threshold"] == 0.001
+    with pytest.raises(ValueError), options(nothing=1):
+        pass
+    viewer = Viewer(0)
+    try:
+        viewer.send({"type": "config"})
+        viewer.send({"type": "baseline", "fitness": [0.5]})
+        assert [e["type"] for e in reader.loads(urlopen(viewer.url + "events?from=1").read())] == ["baseline"]
+        assert b"<script>" in urlopen(viewer.url).read()
+    finally:
+        viewer.close()
