@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,9 +25,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is
-    unset (a local session), a temporary folder that is then set for the session."""
+    unset in a local session, a temporary folder that is then set for the session. On a cluster an
+    unset folder is an error, as executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strataloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,7 +46,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lost executors, and lets later steps scan narrow columns instead of the texts."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._strataloom_path = path
+    return made
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for these tables; nothing may read them any more."""
+    for table in tables:
+        path = getattr(table, "_strataloom_path", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, materialize, ship, slices, table
+from .common import arrow_rows, bytes_of, discard, materialize, ship, slices, table
 from .graph import connected_components
 
 #: Segments that a fingerprint's 64 bits are cut into, and the largest distance their keys are complete for.
@@ -381,7 +381,9 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
         sets = materialize(shingle_sets(fetched, n).dropDuplicates(["v"]), "near-shingles")
         both = pairs.join(sets.select(F.col("v").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("v").alias("y"), F.col("grams").alias("q")), "y")
         shared = F.size(F.array_intersect("p", "q"))
-        return materialize(both.where(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-links")
+        links = materialize(both.where(shared >= F.lit(similarity) * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-links")
+        discard(asked, sets)
+        return links
 
     # SimHash: of texts of one fingerprint the least stands for all.
     heads = texts.groupBy("fp").agg(F.min("v").alias("head"))
