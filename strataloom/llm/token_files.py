@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -150,21 +151,24 @@ def manifest_rows(spark: SparkSession, entries: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "shard int, docs long, tokens long, base long").repartition(max(1, len(rows)))
 
 
-def open_shard(folder: str, entry: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets counted over all shards, document ids, null marks), memory-mapped where the
-    folder is on a mounted file system."""
+def open_shard(folder: str, entry: dict, width: int) -> tuple[Callable[[int, int], np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(ids by their places in the shard, offsets counted over all shards, document ids, null
+    marks), memory-mapped where the folder is on a mounted file system; elsewhere ids are read in
+    the ranges asked for."""
     from pyarrow import fs
 
-    n, out = entry["docs"], []
-    for uri in shard_files(folder, entry["shard"]):
-        system, path = filesystem(uri)
-        if isinstance(system, fs.LocalFileSystem):
-            out.append(np.memmap(path, np.uint8, "r"))
-        else:
-            with system.open_input_file(path) as f:
-                out.append(np.frombuffer(f.read(), np.uint8))
-    ids, index = out
-    return ids.view(f"<u{width}"), index[: 8 * (n + 1)].view("<u8"), index[8 * (n + 1) : 8 * (2 * n + 1)].view("<i8"), index[8 * (2 * n + 1) :]
+    n, (ids, index) = entry["docs"], shard_files(folder, entry["shard"])
+    system, path = filesystem(ids)
+    if isinstance(system, fs.LocalFileSystem):
+        mapped = np.memmap(path, f"<u{width}", "r") if entry["tokens"] else np.zeros(0, f"<u{width}")
+        read = lambda a, b: mapped[a:b]
+        raw = np.memmap(filesystem(index)[1], np.uint8, "r")
+    else:
+        file = system.open_input_file(path)
+        read = lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), f"<u{width}")
+        with system.open_input_file(filesystem(index)[1]) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    return read, raw[: 8 * (n + 1)].view("<u8"), raw[8 * (n + 1) : 8 * (2 * n + 1)].view("<i8"), raw[8 * (2 * n + 1) :]
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +186,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 local = (offsets - offsets[0]).astype(np.int64)
                 for at in range(0, entry["docs"], 10_000):
                     to = min(at + 10_000, entry["docs"])
-                    sums = [zlib.crc32(ids[local[i] : local[i + 1]].astype("<u4").tobytes()) for i in range(at, to)]
+                    part, base = ids(int(local[at]), int(local[to])), local[at]
+                    sums = [zlib.crc32(part[local[i] - base : local[i + 1] - base].astype("<u4").tobytes()) for i in range(at, to)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs[at:to].astype(np.int64), mask=null[at:to].astype(bool)), pa.array(offsets[at:to].astype(np.int64)), pa.array(np.diff(local[at : to + 1])), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],

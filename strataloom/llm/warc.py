@@ -217,24 +217,46 @@ def payload_digest(payload: bytes) -> str:
 
 
 def page_of(fields: dict[str, str], block: bytes) -> tuple:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to); the digest
-    and length of a response are checked against its payload."""
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to); the SHA-1
+    digest and the length of a response are checked against its payload where the record has them.
+
+    Archives of others have no extension headers: page ids are null then, lengths and digests of
+    responses come from the payloads, and of a revisit only the digest that it states is known. A
+    response that isn't of HTTP, such as a DNS answer, is all payload.
+    """
+    own, name, kind = "x-page-id" in fields, fields.get("warc-record-id", "a record without id"), fields["warc-type"]
+
+    def number(header: str) -> int | None:
+        try:
+            return int(fields[header]) if fields.get(header) else None
+        except ValueError:
+            raise WarcError(f"{header} of {name} isn't a number") from None
+
     http, found, payload = block.partition(EOL + EOL)
-    if not found or not http.startswith(b"HTTP/"):
-        raise WarcError("no HTTP head in a page's record")
-    kind, digest, size = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
-    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
-        raise WarcError(f"a payload that doesn't match its digest or length: {fields['warc-record-id']}")
-    if kind == "revisit" and (payload or "warc-refers-to" not in fields):
-        raise WarcError(f"no proper revisit: {fields['warc-record-id']}")
-    number = lambda x: int(x) if x else None
-    return number(fields.get("x-page-id")), fields["warc-target-uri"], payload, size, digest, kind, number(fields.get("x-refers-to-page-id"))
+    if not http.startswith(b"HTTP/"):
+        if own:
+            raise WarcError("no HTTP head in a page's record")
+        payload = block
+    elif not found:
+        raise WarcError(f"an HTTP head that doesn't end: {name}")
+    stated, size = fields.get("warc-payload-digest", ""), number("x-payload-length")
+    digest = stated.removeprefix("sha1:") if stated.startswith("sha1:") else None
+    if kind == "response":
+        made = payload_digest(payload)
+        if size not in (None, len(payload)) or digest not in (None, made):
+            raise WarcError(f"a payload that doesn't match its digest or length: {name}")
+        size, digest = len(payload), made
+    elif own and payload or not ("warc-refers-to" in fields or "warc-refers-to-target-uri" in fields):
+        raise WarcError(f"no proper revisit: {name}")
+    return number("x-page-id"), fields.get("warc-target-uri"), payload, size, digest, kind, number("x-refers-to-page-id")
 
 
 def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True) -> DataFrame:
     """The pages of the archives in ``paths`` (path): (page_id, url, payload, payload_bytes,
     payload_digest, record_type, refers_to), one task per file. ``payload`` is null for a revisit,
-    and for all if ``payloads`` is false (they are decoded and checked all the same)."""
+    and for all if ``payloads`` is false (they are decoded and checked all the same). Records come
+    as often as they stand in the files; empty payloads are no nulls; no files give no rows, and
+    other columns of ``paths`` are ignored. A record that breaks the format is a WarcError."""
     ship(spark)
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 
@@ -252,7 +274,7 @@ def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True)
                         continue
                     page = page_of(fields, block)
                     rows.append((*page[:2], page[2] if payloads and page[5] == "response" else None, *page[3:]))
-                    size += page[3] if payloads else 0
+                    size += len(page[2]) if payloads else 0
                     if len(rows) >= 5000 or size > 16_000_000:
                         yield batch(rows)
                         rows, size = [], 0

@@ -82,3 +82,22 @@ def test_a_retried_write_replaces_the_file(tmp_path):
         write_atomic(f"file://{tmp_path}/d/f", [b"ab", b"c"])
     assert [p.name for p in (tmp_path / "d").iterdir()] == ["f"] and filesystem(f"file://{tmp_path}/d/f")[1] == f"{tmp_path}/d/f"
     assert zstandard.ZSTD_VERSION
+
+
+def foreign(kind, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in more.items()}}
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others():
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+    digest = warc.payload_digest(b"hello")
+    page = warc.page_of(*warc.parse_record(foreign("response", body, WARC_Target_URI="http://a/")))
+    assert page == (None, "http://a/", b"hello", 5, digest, "response", None)
+    assert warc.page_of(*warc.parse_record(foreign("response", body, WARC_Payload_Digest="md5:1")))[4] == digest
+    assert warc.page_of(*warc.parse_record(foreign("response", b"a DNS answer")))[2] == b"a DNS answer"
+    revisit = foreign("revisit", body.replace(b"hello", b""), WARC_Refers_To="<urn:uuid:0>", WARC_Payload_Digest=f"sha1:{digest}")
+    assert warc.page_of(*warc.parse_record(revisit))[3:] == (None, digest, "revisit", None)
+    for spoiled in (foreign("response", body, WARC_Payload_Digest="sha1:AAAA"), foreign("response", b"HTTP/1.1 200 OK"), foreign("revisit", body), foreign("response", body, X_Payload_Length="x"), foreign("response", body, X_Payload_Length="4")):
+        with pytest.raises(warc.WarcError):
+            warc.page_of(*warc.parse_record(spoiled))
