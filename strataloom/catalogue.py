@@ -185,14 +185,15 @@ for _name, _inputs, _target in (
 ):
     transformer(_name, _inputs, None, target=_target, comp_idx=1)
 
-# Clusters, outliers, embeddings: fitted on the embeddings' first coordinates.
+# Clusters, outliers, embeddings: fitted on whole embeddings.
+DIMENSIONS = 64
 
 
 def embedded(name: str, **params) -> Callable:
-    gene = create_gene(name, ["e0", "e1", "e2"], **params)
+    gene = create_gene(name, [f"e{i}" for i in range(DIMENSIONS)], **params)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(3)])
+        df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(DIMENSIONS)])
         states: dict = {}
         fit_genes(df.where("vec_id % 5 <> 0"), [gene], None, states)
         return apply_genes(df, [gene], states).select("vec_id", F.col(gene.output).alias("value"))
@@ -208,19 +209,23 @@ for _name, _params in (
 
 
 def knn_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label of the nearest of a bounded set of centres, which is collected; no cross join."""
-    from .operators.cluster import nearest
+    """Number, by size of the first coordinate, of the nearest of the training rows that a quadratic
+    method is fitted on: all distinct ones, or a bounded sample of them. Rows meet them in broadcast
+    blocks; there is no cross join."""
+    from .operators.cluster import nearest, sampled_rows
 
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "label", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(3)])
-    centres = df.where("vec_id < 50").orderBy("vec_id").limit(50).collect()
-    found = nearest([F.col(f"e{i}") for i in range(3)], [[c.e0, c.e1, c.e2] for c in centres], [c.vec_id for c in centres])
-    return df.select("vec_id", found.cast("long").alias("nearest_id"))
+    gene = create_gene("mst_score", [f"e{i}" for i in range(DIMENSIONS)])
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(DIMENSIONS)])
+    points = sampled_rows(df.where("vec_id % 5 <> 0"), gene)
+    points = points[points[:, 0].argsort(kind="stable")]
+    found = nearest([F.col(f"e{i}") for i in range(DIMENSIONS)], points, list(range(1, len(points) + 1)))
+    return df.select("vec_id", found.cast("long").alias("nearest"))
 
 
 add(
     "op_knn_assign", knn_assign,
-    "WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b, round(CAST(embedding[3] AS DOUBLE), 6) AS c FROM embeddings) "
-    "SELECT x.vec_id, arg_min(z.vec_id, (x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b) + (x.c - z.c) * (x.c - z.c)) AS nearest_id FROM e x CROSS JOIN (SELECT * FROM e WHERE vec_id < 50) z GROUP BY x.vec_id",
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM embeddings), t AS (SELECT v, row_number() OVER (ORDER BY v[1]) AS n FROM (SELECT DISTINCT v FROM e WHERE vec_id % 5 <> 0)) "
+    "SELECT x.vec_id, CAST(arg_min(t.n, list_distance(x.v, t.v)) AS BIGINT) AS nearest FROM e x CROSS JOIN t GROUP BY x.vec_id",
 )
 
 
