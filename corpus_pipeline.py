@@ -19,27 +19,48 @@ from strataloom.llm.toxicity import filter_toxic, fit_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.7; it learns from the labels that aren't held out."""
+    """Documents that the classifier scores below 0.7; it learns from the labels that aren't held out.
+
+    Null and empty texts have no toxic words and stay, as do rows with a null in any other column;
+    equal texts stay or go together, repeated rows too. An empty table gives an empty one.
+    """
     return filter_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 0.8 or more alike."""
+    """One document of each group whose five-word shingles are 0.8 or more alike: that of least id.
+
+    Null and empty texts are one group, null ids come last, and rows that repeat another leave one.
+    An empty table gives an empty one.
+    """
     return drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of ten words, or whole shorter item, of the benchmark."""
+    """Documents without any window of ten words, or whole shorter item, of the benchmark.
+
+    Null and empty texts stay, repeated rows stay or go alike, and an empty table or benchmark drops
+    nothing.
+    """
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it.
+
+    A null source is a source, null and empty texts have size 0 and come as their place in the order
+    says, and the copies of an id that repeats are dealt to its rows in turn. An empty table gives
+    an empty one.
+    """
     return repeat_documents(docs, mix_sources(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' places in the token files, as read from them."""
+    """The documents' places in the token files, as read from them.
+
+    Null and empty texts are an end alone, null ids come first, each of repeated rows has a place of
+    its own, and an empty table gives no rows.
+    """
     import public_tokenizers
 
     folder = shared_path(spark, "pipeline-tokens")
