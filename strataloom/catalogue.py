@@ -196,16 +196,26 @@ def embedded(name: str, **params) -> Callable:
         df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", *[f"round(CAST(embedding[{i}] AS DOUBLE), 6) AS e{i}" for i in range(DIMENSIONS)])
         states: dict = {}
         fit_genes(df.where("vec_id % 5 <> 0"), [gene], None, states)
-        return apply_genes(df, [gene], states).select("vec_id", F.col(gene.output).alias("value"))
+        value = F.col(gene.output)
+        return apply_genes(df, [gene], states).select("vec_id", (F.round(value, 6) if name == "mst_score" else value).alias("value"))
 
     return query
 
 
+# Prim's algorithm, a step a row: the best edge and the tree's vertex behind it for each vertex outside.
+MST = """WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS v FROM embeddings), t AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM (SELECT DISTINCT v FROM e WHERE vec_id % 5 <> 0)),
+m AS (SELECT list(r ORDER BY n) AS m FROM (SELECT a.n, list(CASE WHEN a.n = b.n THEN 1e300 ELSE list_distance(a.v, b.v) END ORDER BY b.n) AS r FROM t a CROSS JOIN t b GROUP BY a.n)),
+p AS (SELECT 1::BIGINT AS k, 0::BIGINT AS j, 0::BIGINT AS via, 0.0::DOUBLE AS l, list_transform(m[1], lambda x, i: CASE WHEN i = 1 THEN 1e300 ELSE x END) AS best, list_transform(m[1], lambda x: 1::BIGINT) AS par, [1::BIGINT] AS seen FROM m
+  UNION ALL SELECT k + 1, j, via, l, list_transform(best, lambda x, i: CASE WHEN list_contains(seen, i) THEN 1e300 ELSE least(x, r[i]) END), list_transform(par, lambda x, i: CASE WHEN r[i] < best[i] THEN j ELSE x END), seen FROM (
+    SELECT k, list_position(best, list_min(best))::BIGINT AS j, par[list_position(best, list_min(best))] AS via, list_min(best) AS l, best, par, list_append(seen, list_position(best, list_min(best))::BIGINT) AS seen, m.m[list_position(best, list_min(best))] AS r FROM p CROSS JOIN m WHERE k < len(best))),
+s AS (SELECT n, max(l) AS value FROM (SELECT j AS n, l FROM p WHERE k > 1 UNION ALL SELECT via, l FROM p WHERE k > 1) GROUP BY n),
+g AS (SELECT x.vec_id, arg_min(t.n, list_distance(x.v, t.v)) AS n FROM e x CROSS JOIN t GROUP BY x.vec_id)
+SELECT g.vec_id, round(s.value, 6) AS value FROM g JOIN s USING (n)"""
 for _name, _params in (
     ("mst_score", {}), ("genie", {"k": 3, "gini": 0.3}), ("lumbermark", {"k": 3}), ("deadwood", {}), ("genie_centroid_dist", {"k": 3, "gini": 0.3, "comp_idx": 1}),
     ("lumbermark_centroid_dist", {"k": 3, "comp_idx": 2}), ("umap", {"n_neighbors": 10, "comp_idx": 1}), ("umap_genie", {"k": 3, "n_neighbors": 10}), ("umap_lumbermark", {"k": 3, "n_neighbors": 10}),
 ):
-    add(f"op_{_name}", embedded(_name, **_params))
+    add(f"op_{_name}", embedded(_name, **_params), MST if _name == "mst_score" else None)
 
 
 def knn_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
