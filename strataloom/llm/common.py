@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker expands into arrays at a time; one longer text goes alone.
 SLICE_BYTES = 2_000_000
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 2000
+
 #: The white space of ``[\x20\x09-\x0D]``, which is also what ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -138,10 +141,13 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that a session needs no other set-up."""
+    """Send this package to the executors once, so that a session needs no other set-up; batches of
+    texts that go to workers are made smaller than Spark's own."""
     context = spark.sparkContext
     if getattr(context, "_strataloom_shipped", False):
         return
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     package = Path(__file__).resolve().parents[1]
     if package.is_dir():
         archive = Path(tempfile.mkdtemp(prefix="strataloom-")) / f"{package.name}.zip"
@@ -152,6 +158,25 @@ def ship(spark: SparkSession) -> None:
     context._strataloom_shipped = True
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, which gives a reused worker's free memory back to the system when its task is done."""
+
+    def tidied(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def arrow_rows(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns alone, so that clashing extra columns never matter, nor
     does what is in a name."""
@@ -160,7 +185,7 @@ def arrow_rows(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.Rec
     def named(batches):
         return run(b.rename_columns(columns) for b in batches)
 
-    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(named, schema)
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(tidy(named), schema)
 
 
 def crc32_mod(column, modulus: int):

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bytes_of, discard, materialize, ship, slices, table
+from .common import arrow_rows, bytes_of, discard, materialize, ship, slices, table, tidy
 from .graph import connected_components
 
 #: Segments that a fingerprint's 64 bits are cut into, and the largest distance their keys are complete for.
@@ -175,7 +175,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
         if held is not None and len(held[0]):
             yield links(held[0], held[1], held[2].view(np.uint64))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = RADIUS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -331,7 +331,7 @@ def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None
         if held is not None and len(held[0]):
             yield found(held)
 
-    return dealt.mapInArrow(run, "x long, y long").distinct()
+    return dealt.mapInArrow(tidy(run), "x long, y long").distinct()
 
 
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:

@@ -30,6 +30,9 @@ PATTERNS = {
     "#marks": r"[!?]{3,}",
 }
 
+#: Words and stems whose counts a worker holds before it hands them on.
+COUNTED_NAMES = 100_000
+
 #: Voters with words or stems of their own; what is left shares GROUPS more.
 VOTERS, GROUPS = 64, 16
 
@@ -99,14 +102,21 @@ def learn_lexicon(sample: DataFrame, risk: float = 0.01, precision: float = 0.8)
 
     def count(batches):
         found: dict[str, list[int]] = {}
+
+        def rows():
+            keys = list(found)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64())], ["name", "toxic", "other"])
+
         for piece in slices(batches, "text"):
             index, distinct, at = batch_words(piece.column("text"))
             names = [[w, *stems_of(w)] for w in distinct]
             for toxic, a, b, has in zip(piece.column("toxic").to_pylist(), at.tolist(), at[1:].tolist(), batch_patterns(piece.column("text")), strict=False):
                 for name in {x for i in np.unique(index[a:b]).tolist() for x in names[i]} | {p for p, h in zip(PATTERNS, has, strict=True) if h}:
                     found.setdefault(name, [0, 0])[1 - toxic] += 1
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64())], ["name", "toxic", "other"])
+            if len(found) >= COUNTED_NAMES:
+                yield rows()
+                found.clear()
+        yield rows()
 
     counted = materialize(arrow_rows(sample, ["text", "toxic"], count, "name string, toxic long, other long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxicity-words")
     texts = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}

@@ -568,3 +568,29 @@ def test_label_model_finds_accuracies():
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    n = 400_000
+    words = [f"w{i}" for i in rng.integers(0, 60_000, n).tolist()]
+    text, line = " ".join(words), "\n" + " ".join(f"line{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text + line, "a"), (2, "short" + line, "b"), (3, "z" * 3_000_000, "a")], "doc_id long, text string, source string").repartition(3).cache()
+    bench = spark.createDataFrame([(7, " ".join(words[200_000:200_015]))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert found[1].n_hit == 15 and found[2].n_hit == found[3].n_hit == 0
+    counts = {r.doc_id: r for r in token_counts.count_tokens(docs, TOKENIZER).collect()}
+    token_files.write_token_files(docs, f"file://{tmp_path}/tokens", TOKENIZER, shards=2)
+    places = {r.doc_id: r for r in token_files.read_token_files(spark, f"file://{tmp_path}/tokens").collect()}
+    assert all(places[i].n_tokens == counts[i].n_tokens + 1 for i in counts) and counts[3].n_bytes == 3_000_000
+    quality_rows = {r.doc_id: r for r in quality.apply_quality_rules(docs).collect()}
+    assert quality_rows[1].n_words == n + 60 and quality_rows[3].n_words == 1
+    spans = repeats.repeated_spans(docs).collect()
+    assert [r.doc_id for r in spans] == [2] and spans[0].n_words >= 27
+    prints = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.near_duplicates(docs).collect()}
+    assert prints[1] == brute_fingerprint(text + line) and prints[3] == brute_fingerprint("z" * 3_000_000)
+    assert simhash.drop_near_duplicates(docs).count() == 3
+    taken = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert taken[1].size == n + 60 and taken[1].taken <= 3 * taken[1].size
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).count() == 3
