@@ -286,6 +286,45 @@ def scalar_spelling(model, units):
     return out
 
 
+def test_training_predicts_each_bit_before_it_counts_it(monkeypatch):
+    """Counts, weights and refining table against a scalar version that meets one word at a time."""
+    monkeypatch.setattr(language_model, "FIRST_BYTES", 1)
+    monkeypatch.setattr(language_model, "STEP_SHARE", 1 << 40)
+    words, pa = VOCABULARY[:8] * 3, language_model.pa
+    bits = language_model.bits_for(len(words))
+    learner = language_model.Learner(bits)
+    for places in language_model.task_places([pa.RecordBatch.from_arrays([pa.array(words).cast(pa.binary())], ["token"])], bits):
+        learner.learn(places)
+    seen, weights = collections.defaultdict(lambda: [0, 0]), [[0.05, 0.1, 0.15, 0.2, 0.3, 0.3, 0.0] for _ in range(language_model.GATES)]
+    mass, ones = collections.Counter(), collections.Counter()
+    for step, word in enumerate(words):
+        unit = word.encode() + b"\xff"
+        roots = [language_model.places_of(np.frombuffer(unit[: k + 1], np.uint8), np.array([k + 1]), bits).root[-1].tolist() for k in range(len(unit))]
+        for bit in range(8):
+            moves, met, counted = collections.defaultdict(lambda: [0.0] * 7), collections.Counter(), []
+            for root, byte in zip(roots, unit, strict=True):
+                node, value = (1 << bit) | (byte >> (8 - bit)), byte >> (7 - bit) & 1
+                counts = [seen[r ^ node] for r in root]
+                x = [math.log(b + 0.3) - math.log(a + 0.3) for a, b in counts] + [1.0]
+                level = [(a + b > 0) + (a + b >= 8) for a, b in counts]
+                gate = (level[4] * 3 + level[5]) * 8 + bit
+                z = sum(a * b for a, b in zip(x, weights[gate], strict=True))
+                error = value - 1 / (1 + math.exp(-z))
+                moves[gate] = [m + error * a for m, a in zip(moves[gate], x, strict=True)]
+                met[gate] += 1
+                cell = node * language_model.BUCKETS + min(max(round((z + 8) * 2), 0), 32)
+                mass[cell] += 1
+                ones[cell] += value
+                counted += [(r ^ node, value) for r in root]
+            for gate, move in moves.items():
+                weights[gate] = [w + max(0.02, 0.5 / (1 + step / 10)) * m / (met[gate] + 32) for w, m in zip(weights[gate], move, strict=True)]
+            for slot, value in counted:
+                seen[slot][value] += 1
+    assert {int(i): learner.seen[2 * i : 2 * i + 2].tolist() for i in np.unique(np.flatnonzero(learner.seen) // 2)} == {k: v for k, v in seen.items() if any(v)}
+    assert learner.weights == pytest.approx(np.array(weights), abs=1e-4)
+    assert {int(i): (learner.mass[i], learner.ones[i]) for i in np.flatnonzero(learner.mass)} == {k: (n, ones[k]) for k, n in mass.items()}
+
+
 @pytest.mark.parametrize("kept", [0, language_model.KEPT_BYTES])
 def test_spelling_against_a_scalar_version(kept, monkeypatch):
     monkeypatch.setattr(language_model, "KEPT_BYTES", kept)
