@@ -26,6 +26,9 @@ SKETCH = 128
 #: Columns of the parities of a sketch, 64 in each.
 PARITIES = tuple(f"p{i}" for i in range(8))
 
+#: Columns of the parities of all shingles, 64 in each.
+WHOLE = tuple(f"w{i}" for i in range(16))
+
 #: Members by which the sketches of two similar texts differ at most, where a text has more shingles than its sketch.
 SKETCHES_APART = 126
 
@@ -227,9 +230,10 @@ def prefix_of(grams: np.ndarray, similarity: float, frequent: np.ndarray) -> np.
     return grams[:size]
 
 
-def parity(sketch: np.ndarray) -> np.ndarray:
-    """512 parities of the hashes by their last bits: of two sets no more of them differ than members do."""
-    odd = np.bincount((sketch & np.uint64(64 * len(PARITIES) - 1)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+def parity(members: np.ndarray, columns: tuple[str, ...] = PARITIES) -> np.ndarray:
+    """64 parities a column of the hashes by their last bits: of two sets no more of them differ than members do."""
+    bits = 64 * len(columns)
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -245,9 +249,9 @@ def most_apart(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, similarity: float, frequent: np.ndarray) -> DataFrame:
     """(doc_id, own, v, fp, size, p0, ..., keys): a hash of the text as it is, one of its words in
     order, the SimHash of the set of its words, and of its distinct ``n``-word shingles the number,
-    the parities of the sketch, and the keys."""
+    the parities of the sketch and of all, and the keys."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
-    names = ["doc_id", "own", "v", "fp", "size", *PARITIES]
+    names = ["doc_id", "own", "v", "fp", "size", *PARITIES, *WHOLE]
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -263,7 +267,7 @@ def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, similar
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             fp = np.array([fingerprint(hashes[i]) for i in index], np.uint64)
             grams = [np.unique(shingle_hashes(raw[a:b], n, 42)) for a, b in zip(at, at[1:], strict=False)]
-            odd = np.array([parity(g[:SKETCH]) for g in grams], np.int64).reshape(-1, len(PARITIES))
+            odd = np.array([np.concatenate([parity(g[:SKETCH]), parity(g, WHOLE)]) for g in grams], np.int64).reshape(-1, len(PARITIES) + len(WHOLE))
             keys = pa.array([prefix_of(g, similarity, shared.value).view(np.int64) for g in grams], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("own"), pa.array(v.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([len(g) for g in grams], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in odd.T), keys],
@@ -273,27 +277,34 @@ def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, similar
     return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
-def pairs_of(members: DataFrame, similarity: float, tile: int, heads: int | None = None) -> DataFrame:
-    """Distinct pairs (x, y) of ``members`` (key, v, label, size, p0, ...) that meet under a key, have
-    different labels, and whose sizes and sketches allow the similarity.
+def pairs_of(members: DataFrame, details: DataFrame, similarity: float, tile: int, heads: int | None = None) -> DataFrame:
+    """Distinct pairs (x, y) of ``members`` (key, v, label, place) that meet under a key, have different
+    labels, and whose sizes, parities (``details``: v, size, p0, ..., w0, ...) and places allow the similarity.
+
+    A member's place is how many of its shingles come before the key in the common order. None of
+    them is shared where the key is the first that two texts share, so there the sum of both places is
+    no more than the shingles by which similar texts differ; under later keys a pair may be ruled out.
 
     With ``heads`` only pairs with so many members of each piece, which a hash of the member picks:
     a group of copies has the same ones under all of its keys, so its pairs are in proportion to it. Large buckets are cut into blocks whose pairs are pieces, as for fingerprints.
     """
     ship(members.sparkSession)
     open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
-    met = members.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    # Sizes and sketches come to the members of open keys alone.
+    met = members.join(open_keys, "key").join(details, "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    names = ["key", "piece", "v", "label", "size", *PARITIES]
+    names = ["key", "piece", "v", "label", "place", "size", *PARITIES, *WHOLE]
     pieces = met.select("*", other.alias("other")).withColumn("piece", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).select(*names)
     dealt = pieces.repartition(F.col("key"), F.col("piece")).sortWithinPartitions("key", "piece", "v")
 
     def allowed(i, others, rows):
-        _, _, _, label, size, *bits = rows
+        _, _, _, label, place, size, *bits = rows
         a, b = size[i], size[others]
         ok = (label[i] != label[others]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
-        apart = sum(np.bitwise_count((p[i] ^ p[others]).view(np.uint64)).astype(np.int64) for p in bits)
-        return ok & (apart <= most_apart(a, b, similarity))
+        whole = (1 - similarity) / (1 + similarity) * (a + b) + 1e-9
+        ok &= place[i] + place[others] <= whole
+        apart = lambda columns: sum(np.bitwise_count((p[i] ^ p[others]).view(np.uint64)).astype(np.int64) for p in columns)
+        return ok & (apart(bits[: len(PARITIES)]) <= most_apart(a, b, similarity)) & (apart(bits[len(PARITIES) :]) <= whole)
 
     def found(rows):
         key, piece, v = rows[:3]
@@ -356,20 +367,20 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     pair of 0.8 has less than one in 10**12.
 
     Candidates come from SimHash over the set of single words, by pigeonring for ``RADIUS`` bits as
-    a spanning forest, and from the shingles: similar sets share one of each set's first shingles in
-    a common order (``prefix_of``), and their sketches differ little. Where texts of one such shingle
+    a spanning forest, and, among texts that these don't join, from the shingles: similar sets share one of each set's first shingles in
+    a common order (``prefix_of``) near its start in both, and their sketches differ little. Where texts of one such shingle
     aren't in one group yet, first a few of them meet all others (``HEADS``) and then all pairs from
     different groups do. Every pair is checked on its shingles before it links anything.
 
     Null texts count as empty, empty ones are copies of each other, and rows that repeat another
     leave one. All columns are kept, whatever their names, and an empty table gives an empty one.
-    Text columns meet a shuffle in each of the three checks, for the candidates, and in the result.
+    Text columns meet a shuffle in each of the four checks, for the candidates, and in the result.
     """
     if similarity < 0.8:
         raise ValueError(f"sketches are made for a similarity of 0.8 or more, not {similarity}")
     own = materialize(text_signatures(docs, id_col, text_col, n, similarity, frequent_shingles(docs, n, id_col, text_col)), "near-signatures")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))
-    details = ["size", *PARITIES]
+    details = ["size", *PARITIES, *WHOLE]
     texts = materialize(own.groupBy("v").agg(F.min(rank).alias("first"), *(F.min(c).alias(c) for c in ["fp", *details, "keys"])), "near-texts")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("__own", F.xxhash64("text"))
 
@@ -391,17 +402,17 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     ends = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = texts.join(heads, "fp").where("v <> head").select(F.col("v").alias("x"), F.col("head").alias("y"))
     tested = ends.unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    tested = materialize(tested.distinct(), "near-pairs")
+    links = checked(tested)
     # Keys of one text alone are dropped.
-    posts = texts.select(F.explode("keys").alias("key"), "v")
+    posts = texts.select(F.posexplode("keys").alias("place", "key"), "v")
     shared_keys = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(posts.join(shared_keys, "key").join(texts.select("v", *details), "v"), "near-members")
-    first = pairs_of(members.withColumn("label", F.col("v")), similarity, tile, HEADS[0])
-    tested = materialize(tested.unionByName(first).distinct(), "near-pairs")
-    links = checked(tested)
-    for some in (*HEADS[1:], None):
+    members = materialize(posts.join(shared_keys, "key"), "near-members")
+    details = texts.select("v", *details)
+    for some in (*HEADS, None):
         labels = connected_components(links)
         named = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        more = materialize(pairs_of(named, similarity, tile, some).join(tested, ["x", "y"], "left_anti"), "near-pairs")
+        more = materialize(pairs_of(named, details, similarity, tile, some).join(tested, ["x", "y"], "left_anti"), "near-pairs")
         if more.limit(1).count():
             links, tested = links.unionByName(checked(more)), tested.unionByName(more)
     labels = connected_components(links)

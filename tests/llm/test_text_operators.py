@@ -532,6 +532,25 @@ def test_near_copies_of_edited_groups(spark, groups, copies, share):
         assert {r.doc_id for r in kept.collect()} == {find(i) for i in range(len(texts))}
 
 
+def test_texts_that_are_only_somewhat_alike_meet_in_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in base) for _ in range(80)]
+    made, write = [], simhash.materialize
+
+    def counting(df, name):
+        written = write(df, name)
+        if name == "near-pairs":
+            made.append(written.count())
+        return written
+
+    monkeypatch.setattr(simhash, "materialize", counting)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert kept >= 80 - alike and alike < 10 and sum(made) < 300  # of 3160 pairs
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(900):
