@@ -32,6 +32,9 @@ WHOLE = tuple(f"w{i}" for i in range(16))
 #: Members by which the sketches of two similar texts differ at most, where a text has more shingles than its sketch.
 SKETCHES_APART = 126
 
+#: Columns of a text's first keys, by which a pair is told under which of its keys it is made.
+FIRST = tuple(f"k{i}" for i in range(8))
+
 #: Members of a bucket that meet all others, in turn, before all pairs do.
 HEADS = (2, 16)
 
@@ -277,50 +280,77 @@ def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, similar
     return arrow_rows(source, ["doc_id", "own", "text"], run, ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
-def pairs_of(members: DataFrame, details: DataFrame, similarity: float, tile: int, heads: int | None = None) -> DataFrame:
+def first_keys(members: DataFrame) -> DataFrame:
+    """``members`` (key, v, place) under one key for each set of texts: of the keys that the same texts
+    have, the first in the common order. Whatever meets under one of them meets under that one, where
+    the places are least. Sets are told apart by their least member, their size and 128 bits."""
+    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("g"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("h"), F.min(F.struct("v", "place")).alias("least"))
+    first = sets.groupBy("n", "g", "h", F.col("least.v").alias("v")).agg(F.min_by("key", "least.place").alias("key"))
+    return members.join(first.select("key"), "key")
+
+
+def first_of(members: DataFrame) -> DataFrame:
+    """(v, k0, ...): the first keys of each text in the common order; of fewer, the first one fills the rest."""
+    keys = F.sort_array(F.collect_list(F.struct("place", "key")))["key"]
+    return members.groupBy("v").agg(keys.alias("keys")).select("v", *(F.coalesce(F.get("keys", F.lit(i)), F.get("keys", F.lit(0))).alias(c) for i, c in enumerate(FIRST)))
+
+
+def pairs_of(members: DataFrame, details: DataFrame, similarity: float, tile: int, heads: int | None = None, earlier: int = 0) -> DataFrame:
     """Distinct pairs (x, y) of ``members`` (key, v, label, place) that meet under a key, have different
-    labels, and whose sizes, parities (``details``: v, size, p0, ..., w0, ...) and places allow the similarity.
+    labels, and whose sizes, parities (``details``: v, size, p0, ..., w0, ..., k0, ...) and places allow the similarity.
 
     A member's place is how many of its shingles come before the key in the common order. None of
     them is shared where the key is the first that two texts share, so there the sum of both places is
     no more than the shingles by which similar texts differ; under later keys a pair may be ruled out.
 
-    With ``heads`` only pairs with so many members of each piece, which a hash of the member picks:
-    a group of copies has the same ones under all of its keys, so its pairs are in proportion to it. Large buckets are cut into blocks whose pairs are pieces, as for fingerprints.
+    A pair is made once: under the first key that is among the first ones (``FIRST``) of both, and
+    under each of its keys only if there is none.
+
+    With ``heads`` only pairs with so many members of each piece, or all of a piece of twice as many,
+    which a hash of the member picks: a group of copies has the same ones under all of its keys, so
+    its pairs are in proportion to it. Pairs that a call with ``earlier`` heads has made, or left out as
+    they had one label, aren't made again: ``members`` but for the labels have to be the same. Large
+    buckets are cut into blocks whose pairs are pieces, as for fingerprints.
     """
     ship(members.sparkSession)
-    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where((F.col("least") != F.col("most")) & (F.col("n") > 2 * earlier)).select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
     # Sizes and sketches come to the members of open keys alone.
     met = members.join(open_keys, "key").join(details, "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    names = ["key", "piece", "v", "label", "place", "size", *PARITIES, *WHOLE]
+    names = ["key", "piece", "v", "label", "place", "size", *PARITIES, *WHOLE, *FIRST]
     pieces = met.select("*", other.alias("other")).withColumn("piece", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).select(*names)
     dealt = pieces.repartition(F.col("key"), F.col("piece")).sortWithinPartitions("key", "piece", "v")
 
     def allowed(i, others, rows):
-        _, _, _, label, place, size, *bits = rows
+        key, _, _, label, place, size, *bits = rows
+        bits, first = bits[: -len(FIRST)], bits[-len(FIRST) :]
         a, b = size[i], size[others]
         ok = (label[i] != label[others]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
         whole = (1 - similarity) / (1 + similarity) * (a + b) + 1e-9
         ok &= place[i] + place[others] <= whole
         apart = lambda columns: sum(np.bitwise_count((p[i] ^ p[others]).view(np.uint64)).astype(np.int64) for p in columns)
-        return ok & (apart(bits[: len(PARITIES)]) <= most_apart(a, b, similarity)) & (apart(bits[len(PARITIES) :]) <= whole)
+        ok &= (apart(bits[: len(PARITIES)]) <= most_apart(a, b, similarity)) & (apart(bits[len(PARITIES) :]) <= whole)
+        hit = np.flatnonzero(ok)
+        x, y = (np.column_stack([k[c[hit]] for k in first]) for c in (i, others))
+        before = np.cumsum(x == key[i[hit]][:, None], axis=1) == 0
+        ok[hit] = ~(before & (x[:, :, None] == y[:, None, :]).any(axis=2)).any(axis=1)
+        return ok
+
+    def done(n, k):
+        """How many members of a piece of ``n`` have met all others after a call with ``k`` heads."""
+        return n if k is None or n <= 2 * k else k
 
     def found(rows):
         key, piece, v = rows[:3]
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])]))
         size = np.diff(np.concatenate([edge, [len(key)]]))
-        two = edge[size == 2]
+        two = edge[(size == 2) & (done(2, earlier) < 2)]
         ok = allowed(two, two + 1, rows)
         out = [np.column_stack([v[two][ok], v[two + 1][ok]])]
         for at, n in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            group = np.arange(at, at + n)
-            if heads is None or n <= 2 * heads:
-                tested = ((i, group[i - at + 1 :]) for i in group)
-            else:
-                order = np.argsort(v[group].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                tested = ((i, group) for i in group[order[:heads]])
-            for i, others in tested:
+            order = at + np.argsort(v[at : at + n].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for r in range(done(n, earlier), min(done(n, heads), n - 1)):
+                i, others = order[r], order[r + 1 :]
                 hit = others[allowed(np.full(len(others), i), others, rows)]
                 out.append(np.column_stack([np.full(len(hit), v[i]), v[hit]]))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
@@ -370,7 +400,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     a spanning forest, and, among texts that these don't join, from the shingles: similar sets share one of each set's first shingles in
     a common order (``prefix_of``) near its start in both, and their sketches differ little. Where texts of one such shingle
     aren't in one group yet, first a few of them meet all others (``HEADS``) and then all pairs from
-    different groups do. Every pair is checked on its shingles before it links anything.
+    different groups do. Of keys that the same texts have one is kept, and a pair that meets under
+    several is made under one of them. Every pair is checked on its shingles before it links anything.
 
     Null texts count as empty, empty ones are copies of each other, and rows that repeat another
     leave one. All columns are kept, whatever their names, and an empty table gives an empty one.
@@ -407,12 +438,14 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
     # Keys of one text alone are dropped.
     posts = texts.select(F.posexplode("keys").alias("place", "key"), "v")
     shared_keys = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(posts.join(shared_keys, "key"), "near-members")
-    details = texts.select("v", *details)
-    for some in (*HEADS, None):
+    shared = materialize(posts.join(shared_keys, "key"), "near-posts")
+    members = materialize(first_keys(shared), "near-members")
+    discard(shared)
+    details = materialize(texts.select("v", *details).join(first_of(members), "v"), "near-details")
+    for earlier, some in zip((0, *HEADS), (*HEADS, None), strict=True):
         labels = connected_components(links)
         named = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        more = materialize(pairs_of(named, details, similarity, tile, some).join(tested, ["x", "y"], "left_anti"), "near-pairs")
+        more = materialize(pairs_of(named, details, similarity, tile, some, earlier).join(tested, ["x", "y"], "left_anti"), "near-pairs")
         if more.limit(1).count():
             links, tested = links.unionByName(checked(more)), tested.unionByName(more)
     labels = connected_components(links)

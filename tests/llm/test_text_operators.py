@@ -551,6 +551,37 @@ def test_texts_that_are_only_somewhat_alike_meet_in_few_pairs(spark, monkeypatch
     assert kept >= 80 - alike and alike < 10 and sum(made) < 300  # of 3160 pairs
 
 
+def test_keys_of_the_same_texts_leave_the_first(spark):
+    rows = [(10, 1, 0), (10, 2, 3), (11, 1, 1), (11, 2, 4), (12, 1, 2), (12, 2, 5), (12, 3, 0), (9, 3, 1), (9, 1, 7)]
+    kept = simhash.first_keys(spark.createDataFrame(rows, "key long, v long, place int")).select("key", "v", "place")
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] != 11)
+    first = {r.v: list(r)[1:] for r in simhash.first_of(kept).collect()}
+    assert first == {1: [10, 12, 9, 10, 10, 10, 10, 10], 2: [10, 12, *[10] * 6], 3: [12, 9, *[12] * 6]}
+
+
+def test_pairs_are_made_once_whatever_keys_they_share(spark, monkeypatch):
+    texts = edited_groups(random.Random(5), 3, 40, (0.02, 0.035))
+    docs, made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    plain = type(docs).mapInArrow
+
+    def counting(self, run, schema, *more):
+        out = plain(self, run, schema, *more)
+        if schema == "x long, y long":
+            made.extend(map(tuple, out.collect()))
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counting)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for j, i in alike:
+            group[i] = group[j] = min(group[i], group[j])
+    assert kept == set(group)
+    assert 0 < len(made) <= 1.1 * len(set(made))
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(900):
