@@ -204,3 +204,20 @@ def test_pca_keeps_digits_of_large_means(spark):
     z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
     found = derived(df, "pca", ["p", "q"], 1)
     assert abs(np.corrcoef(found, z @ np.linalg.svd(z)[2][0])[0, 1]) > 1 - 1e-6
+
+
+def test_knn_assign_takes_all_distinct_training_rows(spark, tmp_path):
+    from strataloom.catalogue import QUERIES
+    from strataloom.options import options
+
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(0, 1, (400, 64)), 3)
+    x[:40, 0] = 0.25  # ties of the first coordinate
+    x[350:] = x[rng.integers(0, 300, 50)]  # copies, of training rows and others
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(400, None, 0), (401, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    training = np.unique(x[np.arange(400) % 5 != 0], axis=0)
+    wanted = {i: int(np.argmin(((training - r) ** 2).sum(axis=1))) + 1 for i, r in enumerate(x)} | {400: None, 401: None}
+    with options(max_clustering_size=100):
+        found = {r.vec_id: r.nearest for r in QUERIES["op_knn_assign"](spark, str(tmp_path)).collect()}
+    assert found == wanted
