@@ -221,3 +221,30 @@ def test_knn_assign_takes_all_distinct_training_rows(spark, tmp_path):
     with options(max_clustering_size=100):
         found = {r.vec_id: r.nearest for r in QUERIES["op_knn_assign"](spark, str(tmp_path)).collect()}
     assert found == wanted
+
+
+def test_closest_decides_by_differences():
+    from strataloom.operators.cluster import closest
+
+    # Products of these lose the distances, which differ in the eighth digit after the point.
+    points = np.array([[1e4, 1e4], [1e4, 1e4 + 3e-6], [1e4, 1e4 + 1e-6]])
+    best, place = np.full(2, np.inf), np.zeros(2, np.int64)
+    closest(np.array([[1e4, 1e4 + 1e-6], [1e4, 1e4 + 4e-6]]), points, best, place, 7)
+    assert place.tolist() == [9, 8]
+    closest(np.array([[1e4, 1e4 + 1e-6], [1e4, 1e4 + 4e-6]]), points, best, place, 20)  # equally near ones come too late
+    assert place.tolist() == [9, 8]
+
+
+def test_knn_assign_matches_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from strataloom.catalogue import ORACLE_SQL, QUERIES
+
+    rng = np.random.default_rng(13)
+    x = 5e4 + np.round(rng.normal(0, 2e-5, (300, 64)), 6)  # far from 0 and near each other
+    x[:, 0] = 5e4 + rng.permutation(300) * 2e-6  # no ties in the SQL's order
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(300, None, 0), (301, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = {r.vec_id: r.nearest for r in QUERIES["op_knn_assign"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.execute(ORACLE_SQL["op_knn_assign"]).fetchall())
