@@ -326,3 +326,20 @@ def test_options_and_viewer(three):
         assert b"<script>" in urlopen(viewer.url).read()
     finally:
         viewer.close()
+
+
+def test_absolute_errors_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    columns = {"even": rng.normal(1e6, 1, 4000), "odd": np.append(rng.normal(0, 1, 3999), np.nan), "ties": rng.integers(0, 3, 4000).astype(float), "flat": np.full(4000, 2.5), "split": np.repeat([0.0, 1.0], 2000), "skew": rng.pareto(0.5, 4000)}
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns))
+    wanted = [float(np.nanmean(np.abs(v - np.nanmedian(v)))) for v in columns.values()]
+    # No row is held by the distinct values of a column; that is what made a task grow with the table.
+    monkeypatch.setattr(F, "percentile", None)
+    for around in (40_000, 100, 1):
+        monkeypatch.setattr(metrics, "AROUND", around)
+        assert metrics.absolute_errors(df, [F.col(c) for c in columns], 4000) == pytest.approx(wanted, rel=1e-12)
+    monkeypatch.setattr(F, "percentile_approx", lambda c, q, accuracy: F.array(F.max(c), F.max(c)) if accuracy == 1000 and not tried.append(c) and len(tried) == 1 else approx(c, q, accuracy))
+    tried, approx = [], F.approx_percentile
+    monkeypatch.setattr(metrics, "AROUND", 40_000)
+    assert metrics.absolute_errors(df, [F.col("skew")], 4000) == pytest.approx(wanted[-1:], rel=1e-12)  # a bracket that misses is widened
+    assert len(tried) == 2
