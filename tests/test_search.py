@@ -343,3 +343,21 @@ def test_absolute_errors_are_exact(spark, monkeypatch):
     monkeypatch.setattr(metrics, "AROUND", 40_000)
     assert metrics.absolute_errors(df, [F.col("skew")], 4000) == pytest.approx(wanted[-1:], rel=1e-12)  # a bracket that misses is widened
     assert len(tried) == 2
+
+
+def test_linear_evaluator_query_runs_alone(tmp_path):
+    """In a process of its own no other query has registered the evaluators."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import __spark_entry__
+from strataloom.session import session
+spark = session("alone", **{{"spark.master": "local[1]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "1"}})
+spark.range(30).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "cast(id % 7 AS double) AS l_quantity", "cast(3 * (id % 7) + 2 AS double) AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'O' AS l_linestatus", "timestamp '1999-01-01' AS l_shipdate", "'N' AS l_returnflag").write.parquet("{tmp_path}/lineitem.parquet")
+rows = __spark_entry__.queries()["evaluator_lm"](spark, "{tmp_path}").collect()
+assert len(rows) == 30 and all(r.p == 3 * r.q + 2 for r in rows)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
