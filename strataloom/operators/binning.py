@@ -110,8 +110,10 @@ class RankTransform(Transformer):
         both = counts.select("x", F.col("n").cast("long")).unionByName(asked).groupBy("x").agg(F.sum("n").alias("n"))
         total = counts.agg(F.sum("n").alias("n")).first().n
         ranks = running_totals(both, "x", ["n"]).select("x", ((F.col("n_before") + F.col("n")) / F.lit(float(total))).alias("__rank"))
-        joined = df.withColumn("__x", x).join(ranks.withColumnRenamed("x", "__y"), F.col("__x") == F.col("__y"), "left")
-        return joined.withColumn(gene.output, F.coalesce("__rank", F.lit(0.5))).drop("__x", "__y", "__rank")
+        # Names of their own: the search's tables have a label __y.
+        ranks = ranks.select(F.col("x").alias("__ranked"), "__rank")
+        joined = df.withColumn("__asked", x).join(ranks, F.col("__asked") == F.col("__ranked"), "left")
+        return joined.withColumn(gene.output, F.coalesce("__rank", F.lit(0.5))).drop("__asked", "__ranked", "__rank")
 
 
 for kind in (QuantileBinning, LogBinning, QuantileBinningCat, LogBinningCat, RankTransform):

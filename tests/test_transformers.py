@@ -248,3 +248,15 @@ def test_knn_assign_matches_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     found = {r.vec_id: r.nearest for r in QUERIES["op_knn_assign"](spark, str(tmp_path)).collect()}
     assert found == dict(con.execute(ORACLE_SQL["op_knn_assign"]).fetchall())
+
+
+def test_rank_transform_by_a_table_beside_the_searchs_label(spark, monkeypatch):
+    from strataloom.operators import binning
+
+    monkeypatch.setattr(binning, "LOCAL_VALUES", 3)
+    df = spark.createDataFrame([(float(v), float(v % 3), float(v)) for v in range(10)], "x double, __y double, __x double")
+    gene, states = create_gene("rank_transform", ["x"]), {}
+    fit_genes(df, [gene], None, states)
+    assert states[gene.state_key].values["counts"] is None
+    rows = apply_genes(df, [gene], states).collect()
+    assert sorted((r.x, r["__y"], r["__x"], r[gene.output]) for r in rows) == [(float(v), float(v % 3), float(v), (v + 1) / 10) for v in range(10)]
